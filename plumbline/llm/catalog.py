@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, mixing
+from plumbline.llm import decontaminate, linededup, mixing
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
+    "op5_line_dedup": linededup.op5_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op5_line_dedup": linededup.OP5_SQL,
 }
