@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, linededup, mixing
+from plumbline.llm import decontaminate, linededup, mixing, simhash
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 ORACLE_SQL = {
