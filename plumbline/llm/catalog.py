@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, linededup, mixing, simhash
+from plumbline.llm import decontaminate, linededup, mixing, simhash, tokenstore
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op10_token_store": tokenstore.op10_token_store,
 }
 
 ORACLE_SQL = {
