@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, linededup, mixing, simhash, tokenstore
+from plumbline.llm import decontaminate, linededup, mixing, simhash, tokenstore, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
