@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, linededup, mixing, simhash, tokenstore, toxicity
+from plumbline.llm import decontaminate, linededup, mixing, simhash, tokenstore, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op6_warc": warc.op6_warc,
     "op10_token_store": tokenstore.op10_token_store,
 }
 

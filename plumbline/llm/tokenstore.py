@@ -290,7 +290,7 @@ def _pack(folder: str):
                 if sink is None:
                     name, n, at = f"pack-{part:06d}-{n:05d}.bin", n + 1, 0
                     temp = f"{base}/.{name}.{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(temp)
+                    sink = fs.open_output_stream(temp, compression=None)
                 sink.write(p)
                 index.append((a, name, at, len(p)))
                 at += len(p)
