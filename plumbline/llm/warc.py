@@ -110,11 +110,12 @@ _MANIFEST = "shard int, seq int, file string, bytes bigint, records bigint, sha2
 
 
 def _write_shards(folder: str, roll_bytes: int):
-    """(shard, page_id, url, html, refers_to) sorted by shard and id -> manifest rows."""
+    """(shard, id, sha, refers_to, url, html), sorted, a marker ahead of what it marks -> manifest rows."""
 
     def run(batches):
         fs, base = filesystem(folder)
         shard, seq, sink, temp, size, count, digest = None, 0, None, "", 0, 0, None
+        marked, refers = None, None
 
         def close():
             sink.close()
@@ -125,7 +126,10 @@ def _write_shards(folder: str, roll_bytes: int):
 
         for batch in batches:
             done = []
-            for s, page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for s, page, sha, mark, url, html in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if mark is not None:
+                    marked, refers = (page, sha), mark
+                    continue
                 if sink is not None and (s != shard or size >= roll_bytes):
                     done.append(close())
                     sink, seq = None, seq + 1
@@ -134,7 +138,7 @@ def _write_shards(folder: str, roll_bytes: int):
                 if sink is None:
                     temp = f"{base}/.part-{shard:06d}-{seq:05d}.{uuid.uuid4().hex}"
                     sink, size, count, digest = fs.open_output_stream(temp, compression=None), 0, 0, hashlib.sha256()
-                record = make_record(page, url, text_bytes(html), refers)
+                record = make_record(page, url, text_bytes(html), refers if marked == (page, sha) else None)
                 sink.write(record)
                 digest.update(record)
                 size, count = size + len(record), count + 1
@@ -199,12 +203,12 @@ def write_archive(pages: DataFrame, folder: str, shards: int | None = None, roll
     revisits = keys.join(groups, ["sha", "x", "n"]).where("id < last").groupBy("id", "sha").agg(F.max("last").alias("refers_to"))
     bounds = _bounds(keys, n)
     shard = lambda c: F.expr(f"int(coalesce(array_size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < {c})), 0))") if bounds else F.lit(0)
-    # both sides are dealt by shard, then matched by shard, id and digest within it: payloads move once
-    left = pages.select(shard(f"bigint(`{id_col}`)").alias("shard"), F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"), F.sha1(raw).alias("sha"))
-    left = left.repartition(n, "shard")
-    right = revisits.select(shard("id").alias("shard"), "id", "sha", "refers_to").repartition(n, "shard")
-    joined = left.join(right, ["shard", "id", "sha"], "left").select("shard", "id", "url", "html", "refers_to", "sha")
-    sorted_ = joined.sortWithinPartitions("shard", "id", "sha", "url").drop("sha")
+    # a marker row goes ahead of each record that is a revisit: payloads move once, to their shard
+    records = pages.select(shard(f"bigint(`{id_col}`)").alias("shard"), F.col(id_col).cast("bigint").alias("id"), F.sha1(raw).alias("sha"), F.lit(None).cast("bigint").alias("refers_to"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
+    nothing = F.lit(None).cast("string")
+    markers = revisits.select(shard("id").alias("shard"), "id", "sha", "refers_to", nothing.alias("url"), nothing.alias("html"))
+    dealt = records.unionByName(markers).repartition(n, "shard")
+    sorted_ = dealt.sortWithinPartitions("shard", "id", "sha", F.col("refers_to").desc_nulls_last(), "url")
     sorted_.mapInArrow(_write_shards(f"{folder}/records", roll_bytes), _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
