@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, linededup, mixing, simhash, tokenstore, toxicity, warc
+from plumbline.llm import decontaminate, knn, linededup, mixing, simhash, tokenstore, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op6_warc": warc.op6_warc,
+    "op9_knn": knn.op9_knn,
     "op10_token_store": tokenstore.op10_token_store,
 }
 
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
+    "op9_knn": knn.OP9_SQL,
 }
