@@ -24,8 +24,9 @@ those of its chunks in recipe order (CRC-32 of a concatenation follows from the
 parts), and its Merkle root and number of ids must agree with the recipe.
 
 Ids come from the tokenizers library.  Its byte-level splitting never joins
-text across a change from non-space to ASCII white space, so texts are cut
-there and repeated pieces are encoded once; texts with other white space or
+text across a change from non-space to ASCII white space, or from a letter to
+an ASCII mark or digit and back, so texts are cut there and repeated pieces
+are encoded once; texts with other white space or
 with a special token's string are encoded whole.
 
 Defined cases: a null or empty text is the end id alone.  Null doc_ids sort
@@ -40,6 +41,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,12 @@ from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 64, 4096
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
-_pieces = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
+_SPACE, _LETTER = " \t-\r", "A-Za-zÀ-ÖØ-öø-ÿ"
+#: ASCII white space, then either letters (of ASCII or Latin-1) up to an ASCII non-letter, or ASCII digits and marks but
+#: the apostrophe up to a letter or space, or else all up to the next space.
+_pieces = re.compile(rf"[{_SPACE}]*(?:[{_LETTER}]++(?=[\x00-\x7f]|\Z)|[!-&(-@\[-`{{-~]++(?=[{_LETTER}{_SPACE}]|\Z)|[^{_SPACE}]+)|[{_SPACE}]+").findall
 #: White space beyond ASCII's, and what some engines take for it.
 _other_space = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]").search
 
@@ -67,7 +72,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Text -> little-endian 32-bit ids as bytes, through a bounded cache of pieces."""
+    """Text -> little-endian ids as bytes (16 bits each, 32 where the vocabulary needs it), through a bounded cache of pieces."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,16 +82,17 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = "<u4" if self.wide else "<u2"
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
         cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
         for t in texts:
             if not t:
                 cut.append([])
@@ -95,12 +101,12 @@ class Encoder:
             else:
                 pieces = _pieces(t)
                 cut.append(pieces)
-                new.update(dict.fromkeys(p for p in pieces if p not in cache))
-        fresh = list(new)
+                new |= set(pieces).difference(cache)
+        fresh, code = list(new), "I" if self.wide else "H"
         for at in range(0, len(fresh), 20_000):
             block = fresh[at : at + 20_000]
             for p, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
+                cache[p] = array(code, e.ids).tobytes()
         get = cache.__getitem__
         return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
@@ -159,10 +165,6 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def address(ids: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(ids.astype("<u4").tobytes())
-
-
 def _gf2_times(matrix: list[int], vec: int) -> int:
     out, i = 0, 0
     while vec:
@@ -211,31 +213,31 @@ def _encode(path: str):
 
     def run(batches):
         enc = encoder(path)
-        pack = "<u4" if enc.wide else "<u2"
+        width = 4 if enc.wide else 2
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
         seen: set[bytes] = set()
-        end_id = np.array([END_ID], "<u4").tobytes()
+        end_id = np.array([END_ID], enc.kind).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 256):
                 streams = [s + end_id for s in enc.batch(texts.slice(at, 256).to_pylist())]
-                ids = np.frombuffer(b"".join(streams), "<u4")
-                cuts = cut_points(ids)
-                small = ids.astype(pack)
+                raw = b"".join(streams)
+                cuts = cut_points(np.frombuffer(raw, enc.kind))
                 chunks, payloads, recipes = [], [], []
                 start = 0
                 for doc, s in zip(doc_ids[at : at + 256], streams, strict=True):
-                    end = start + len(s) // 4
+                    end = start + len(s) // width
                     own, begin = [], start
                     for stop in chunk_ends(cuts, start, end):
-                        a = address(ids[begin:stop])
+                        chunk = raw[width * begin : width * stop]
+                        a = xxhash.xxh3_128_digest(chunk)
                         own.append(a)
                         if a not in seen:
                             if len(seen) > 1_000_000:
                                 seen.clear()
                             seen.add(a)
                             chunks.append(a)
-                            payloads.append(squeeze(small[begin:stop].tobytes()))
+                            payloads.append(squeeze(chunk))
                         begin = stop
                     recipes.append((doc, end - start, b"".join(own), merkle(own)))
                     start = end
@@ -375,12 +377,12 @@ def _read_packs(folder: str, pack: str):
                 if name != opened:
                     opened, source = name, fs.open_input_file(f"{base}/{name}")
                 source.seek(at)
-                ids = np.frombuffer(unzip(source.read(size)), pack).astype("<u4")
-                raw = ids.tobytes()
-                if xxhash.xxh3_128_digest(raw) != a:
+                stored = unzip(source.read(size))
+                ids = np.frombuffer(stored, pack)
+                if xxhash.xxh3_128_digest(stored) != a:
                     raise ValueError(f"chunk {a.hex()} in {name} at {at} doesn't match its address")
                 out_n.append(len(ids))
-                out_crc.append(zlib.crc32(raw))
+                out_crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out_n, pa.int64()), pa.array(out_crc, pa.int64())], names=["address", "n", "crc"])
 
     return run

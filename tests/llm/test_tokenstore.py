@@ -68,3 +68,12 @@ def test_chunks_bound_and_cover():
     ends = ts.chunk_ends(ts.cut_points(ids), 0, len(ids))
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(ids) and sizes.max() <= ts.MAX_CHUNK and sizes[:-1].min() >= ts.MIN_CHUNK
+
+
+def test_pieces_encode_like_whole_texts():
+    rng = random.Random(11)
+    parts = ["a", "Ab", "é", "ÿ", "×", "—", "…", "日", "'", "'s", "'t", "’", "1", "23", ".", ",", "!!", "##", " ", "  ", "\n", "\t", "\r\n", "\x0b", "_", "\x00", "\x7f", "\u0301", "🙂", "½", "ª", "ſ"]
+    enc = ts.Encoder(ts.default_tokenizer())
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    for text, ids in zip(texts, enc.batch(texts)):
+        assert np.frombuffer(ids, enc.kind).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
