@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, knn, linededup, mixing, simhash, tokenstore, toxicity, warc
+from plumbline.llm import decontaminate, knn, linededup, mixing, quality, simhash, tokenstore, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality": quality.op4_quality,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op6_warc": warc.op6_warc,
