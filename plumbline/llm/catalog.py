@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, knn, linededup, mixing, quality, simhash, tokenstore, toxicity, warc
+from plumbline.llm import decontaminate, knn, linededup, mixing, quality, secrets, simhash, tokenstore, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op6_warc": warc.op6_warc,
+    "op8_secrets": secrets.op8_secrets,
     "op9_knn": knn.op9_knn,
     "op10_token_store": tokenstore.op10_token_store,
 }

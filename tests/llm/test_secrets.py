@@ -1,0 +1,48 @@
+import re
+
+from plumbline.llm import secrets
+
+
+def test_candidates_and_neighbours_against_plain(spark):
+    texts = [
+        (1, 'set token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" now', "a"),
+        (2, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962\nand 1234567890123456 and é9abcdefghijklmnop", None),
+        (3, None, "a"),
+        (4, "", "a"),
+        (5, "no candidates in averyveryveryverylongwordwithoutdigits", "a"),
+        (6, "x1" * 600, "a"),
+        (1, "abcdefghijklmnop1,abcdefghijklmnop2", "b"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, source string")
+    got = sorted((r.doc_id, r.nth, r.candidate, r.before, r.after, r.path) for r in secrets.candidates(docs).collect())
+    want = []
+    for i, t, p in texts:
+        pieces, found = re.split(secrets.CANDIDATE, t or ""), re.findall(secrets.CANDIDATE, t or "")
+        want += [(i, k, c, pieces[k][-secrets.NEAR :], pieces[k + 1][: secrets.NEAR], p or "") for k, c in enumerate(found)]
+    assert got == sorted(want) and len(got) >= 6
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.sample_findings(spark, 4000)
+    train, held = rows.randomSplit([0.7, 0.3], seed=1)
+    model = secrets.fit(train)
+    out = model.transform(secrets._vectors(held))
+    right = out.where("__predicted = label").count() / out.count()
+    assert right > 0.95
+
+
+def test_query_is_native_and_tells_tokens_from_checksums(spark, tmp_path):
+    path = str(tmp_path / "sf")
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    docs = [(1, f'the token = "{key}" here', "src1", 1), (2, f"the river checksum = {key} here", "src1", 1), (3, "call 4199391714317852 now", None, 1), (4, None, "a", 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, score int").write.parquet(f"{path}/documents.parquet")
+    out = secrets.op8_secrets(spark, path)
+    assert {r.doc_id: r.secret for r in out.collect()} == {1: True, 2: False, 3: False}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path / "sf")
+    spark.createDataFrame([], "doc_id bigint, text string, source string").write.parquet(f"{path}/documents.parquet")
+    assert secrets.op8_secrets(spark, path).count() == 0
