@@ -96,3 +96,26 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.fp) for r in kept.collect()) == [(0, 1), (1, 7), (3, 9)]
+
+
+def test_stage_catches_edited_copies_and_leaves_others(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs, base_of = [], {}
+    for g in range(40):
+        base = [rng.choice(vocab) for _ in range(rng.choice([60, 200, 500]))]
+        for c in range(5):
+            t = base[:]
+            for _ in range(len(t) * c // 250):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            docs.append((g * 10 + c, " ".join(t)))
+            base_of[g * 10 + c] = g * 10
+    kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), "").collect()}
+    texts = dict(docs)
+    sets = {i: set(simhash.shingle_hashes(t).tolist()) for i, t in docs}
+    for i, b in base_of.items():
+        similarity = len(sets[i] & sets[b]) / len(sets[i] | sets[b])
+        if i == b:
+            assert i in kept
+        elif similarity >= 0.9:
+            assert i not in kept, (i, similarity, len(texts[i].split()))
