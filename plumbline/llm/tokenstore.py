@@ -53,9 +53,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 
 END_ID = 2
-WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 64, 4096
+WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 
 _SPACE, _LETTER = " \t-\r", "A-Za-zÀ-ÖØ-öø-ÿ"
 #: ASCII white space, then either letters (of ASCII or Latin-1) up to an ASCII non-letter, or ASCII digits and marks but
@@ -91,24 +91,30 @@ class Encoder:
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
+        get = cache.get
+        held: list[list[bytes | None]] = []
+        holes: list[tuple[int, int, str]] = []
+        for k, t in enumerate(texts):
             if not t:
-                cut.append([])
+                held.append([])
             elif _other_space(t) or any(s in t for s in self.special):
-                cut.append(None)
+                held.append([self._whole(t)])
             else:
                 pieces = _pieces(t)
-                cut.append(pieces)
-                new |= set(pieces).difference(cache)
-        fresh, code = list(new), "I" if self.wide else "H"
-        for at in range(0, len(fresh), 20_000):
-            block = fresh[at : at + 20_000]
+                ids = list(map(get, pieces))
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    holes.append((k, at, pieces[at]))
+                held.append(ids)
+        new, code = list({p for _, _, p in holes}), "I" if self.wide else "H"
+        for at in range(0, len(new), 20_000):
+            block = new[at : at + 20_000]
             for p, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False), strict=True):
                 cache[p] = array(code, e.ids).tobytes()
-        get = cache.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        for k, at, p in holes:
+            held[k][at] = cache[p]
+        return [b"".join(ids) for ids in held]
 
 
 @functools.cache
