@@ -43,26 +43,36 @@ def _vote(poor: Column, good: Column) -> Column:
     return F.when(poor, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
 
-def labellers(text_col: str) -> dict[str, Column]:
-    """Name -> vote of each heuristic."""
+def facts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with what the labellers look at, under ``__f_``; each fact is computed once a text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chars = F.length(text)
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     words = F.filter(F.split(text, f"[{ASCII_WS}]+"), lambda w: w != "")
-    n = F.size(words)
-    share = lambda x, of: x / F.greatest(of, F.lit(1))
-    removed = lambda pattern: chars - F.length(F.regexp_replace(text, pattern, ""))
-    letters, upper = removed(r"\p{L}"), removed(r"\p{Lu}")
-    symbols = share(removed(r"[#$%&*|<>{}\[\]\\^~_=+@]"), chars)
-    shouting = share(upper, letters)
-    same = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b)
-    repeats = share(F.size(F.filter(same, lambda x: x)), n)
-    variety = share(F.size(F.array_distinct(words)), n)
-    bare = share(F.size(F.filter(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]"))), n)
-    ends = share(F.size(F.filter(words, lambda w: w.rlike(r"[.!?,;:]$"))), n)
-    loud = share(F.size(F.filter(words, lambda w: w.rlike(r"[^\p{L}\p{N}\s]{2,}$"))), n)
-    stops = share(F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))), n)
-    mean = share(letters, n)
-    enough = n >= 20
+    counted = docs.withColumns(
+        {
+            "__f_words": F.size(words),
+            "__f_kinds": F.size(F.array_distinct(words)),
+            "__f_chars": F.length(text),
+            "__f_letters": F.length(F.regexp_replace(text, r"\P{L}+", "")),
+            "__f_upper": F.length(F.regexp_replace(text, r"\P{Lu}+", "")),
+            "__f_symbols": count(r"[#$%&*|<>{}\[\]\\^~_=+@]"),
+            "__f_repeats": count(r"(?<!\S)(\S+)\s(?=\1(?!\S))"),
+            "__f_bare": count(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)"),
+            "__f_ends": count(r"[.!?,;:](?!\S)"),
+            "__f_loud": count(r"[^\p{L}\p{N}\s]{2}(?!\S)"),
+            "__f_stops": count(rf"(?<!\S)({'|'.join(STOP_WORDS)})(?!\S)"),
+        }
+    )
+    return counted
+
+
+def labellers() -> dict[str, Column]:
+    """Name -> vote of each heuristic, over the columns of :func:`facts`."""
+    f = lambda name: F.col(f"__f_{name}")
+    n, enough = f("words"), f("words") >= 20
+    per_word = lambda name: f(name) / F.greatest(n, F.lit(1))
+    symbols, shouting = f("symbols") / F.greatest(f("chars"), F.lit(1)), f("upper") / F.greatest(f("letters"), F.lit(1))
+    repeats, variety, bare, ends, loud, stops, mean = (per_word(x) for x in ("repeats", "kinds", "bare", "ends", "loud", "stops", "letters"))
     return {
         "symbols": _vote(symbols > 0.08, symbols < 0.02),
         "shouting": _vote(shouting > 0.5, shouting < 0.25),
@@ -77,8 +87,9 @@ def labellers(text_col: str) -> dict[str, Column]:
     }
 
 
-def votes(docs: DataFrame, text_col: str = "text") -> Column:
-    return F.array(*[v.cast("int") for v in labellers(text_col).values()])
+def votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__v``, the votes in order."""
+    return facts(docs, text_col).select(*docs.columns, F.array(*[v.cast("int") for v in labellers().values()]).alias("__v"))
 
 
 @dataclass
@@ -125,10 +136,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 def label_model(docs: DataFrame, text_col: str = "text") -> LabelModel:
     """EM over the vote patterns of all documents; at most 3^10 counts come to the driver."""
-    rows = docs.groupBy(votes(docs, text_col).alias("v")).count().collect()
+    rows = votes(docs.select(text_col), text_col).groupBy(F.col("__v").alias("v")).count().collect()
     rows.sort(key=lambda r: r.v)
     if not rows:
-        return LabelModel(np.ones((len(labellers(text_col)), 2, 3)), 0.5)
+        return LabelModel(np.ones((len(labellers()), 2, 3)), 0.5)
     return expectation_maximisation(np.array([r.v for r in rows]), np.array([r["count"] for r in rows], float))
 
 
@@ -149,34 +160,42 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-class Features:
-    """Hashed features of texts; token codes are cached, bounded."""
-
-    def __init__(self, limit: int = 300_000):
-        self.limit, self.cache = limit, {}
-
-    def tokens(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = (_bucket("w" + w.lower()), _bucket("s" + _shape(w)))
-        return np.array([cache[w] for w in words], np.int64).reshape(-1)
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, values): token features share a mass of 2, document facts have 1.5 each."""
-        words = _split(text) if text else []
-        n = len(words)
-        distinct = len(set(words)) / n if n else 0.0
-        mean = sum(map(len, words)) / n if n else 0.0
-        repeats = sum(map(str.__eq__, words, words[1:])) / n if n else 0.0
-        facts = [_bucket(f"n{min(12, n.bit_length())}"), _bucket(f"d{min(12, n.bit_length())}:{int(distinct * 8)}"), _bucket(f"m{min(20, int(mean))}"), _bucket(f"r{min(8, int(repeats * 20))}")]
-        if not n:
-            return np.array(facts), np.full(len(facts), 1.5)
-        flat = self.tokens(words)
-        b, c = np.unique(flat, return_counts=True)
-        return np.r_[facts, b], np.r_[np.full(len(facts), 1.5), c / n]
+def _token_buckets(word: str) -> tuple[int, int]:
+    return _bucket("w" + word.lower()), _bucket("s" + _shape(word))
+
+
+def _document_buckets(words: list[str]) -> list[int]:
+    n = len(words)
+    size = min(12, n.bit_length())
+    distinct = len(set(words)) / n if n else 0.0
+    mean = sum(map(len, words)) / n if n else 0.0
+    repeats = sum(map(str.__eq__, words, words[1:])) / n if n else 0.0
+    return [_bucket(x) for x in (f"n{size}", f"d{size}:{int(distinct * 8)}", f"m{min(20, int(mean))}", f"r{min(8, int(repeats * 20))}")]
+
+
+FACT_VALUE = 1.5
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values): each token's two features have 1 / tokens, document facts ``FACT_VALUE`` each."""
+    words = _split(text) if text else []
+    own = _document_buckets(words)
+    b, c = np.unique(np.array([x for w in words for x in _token_buckets(w)], np.int64), return_counts=True)
+    return np.r_[np.array(own), b].astype(np.int64), np.r_[np.full(len(own), FACT_VALUE), c / max(1, len(words))]
+
+
+class _TokenWeights(dict):
+    """Token -> sum of its features' weights, made when first asked for, bounded."""
+
+    def __init__(self, weights: np.ndarray, limit: int = 500_000):
+        self.weights, self.limit = weights, limit
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.limit:
+            self.clear()
+        a, b = _token_buckets(word)
+        self[word] = w = float(self.weights[a] + self.weights[b])
+        return w
 
 
 @dataclass
@@ -184,12 +203,20 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: list[str | None], features: Features) -> np.ndarray:
-        z = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            b, v = features(t)
-            z[i] = self.bias + self.weights[b] @ v
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def scoring(self):
+        """A function of texts to scores, as :func:`features` and a dot product would give."""
+        token, weights, bias = _TokenWeights(self.weights), self.weights, self.bias
+
+        def score(texts: list[str | None]) -> np.ndarray:
+            z = np.empty(len(texts))
+            for i, t in enumerate(texts):
+                words = _split(t) if t else []
+                z[i] = bias + FACT_VALUE * weights[_document_buckets(words)].sum()
+                if words:
+                    z[i] += sum(map(token.__getitem__, words)) / len(words)
+            return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+        return score
 
 
 def fit_scorer(texts: list[str | None], soft: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 1e-5) -> Scorer:
@@ -197,7 +224,7 @@ def fit_scorer(texts: list[str | None], soft: np.ndarray, rounds: int = 150, rat
     w, bias = np.zeros(BUCKETS), 0.0
     if not len(texts):
         return Scorer(w, bias)
-    made = [*map(Features(), texts)]
+    made = [*map(features, texts)]
     cols = np.concatenate([b for b, _ in made])
     vals = np.concatenate([v for _, v in made])
     rows = np.repeat(np.arange(len(made)), [len(b) for b, _ in made])
@@ -217,7 +244,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     order = F.xxhash64(F.col(id_col).cast("string"))
     short = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars)
     ids = short.select(id_col).orderBy(order, id_col).limit(max_docs).distinct()
-    chosen = short.join(F.broadcast(ids), id_col, "left_semi").select(F.col(text_col).alias("t"), votes(docs, text_col).alias("v"))
+    chosen = votes(short.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi"), text_col).select(F.col(text_col).alias("t"), F.col("__v").alias("v"))
     rows = sorted(((r.t or "", r.v) for r in chosen.toLocalIterator()), key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))[: 2 * max_docs]
     soft = model.posterior(np.array([v for _, v in rows]).reshape(len(rows), -1)) if rows else np.zeros(0)
     return fit_scorer([t for t, _ in rows], soft), model
@@ -230,10 +257,9 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
-        features = Features()
+        scoring = shared.value.scoring()
         for batch in batches:
-            got = shared.value.score(batch.column(at).to_pylist(), features)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scoring(batch.column(at).to_pylist()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
