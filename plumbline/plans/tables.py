@@ -112,9 +112,9 @@ def sensor_timings(spark, d):
 
 @_query(f"""WITH t AS ({_TIMES}), o AS (SELECT max(start_time) AS a, min(end_time) AS b, count(*) AS n FROM t)
   SELECT event_type, CASE WHEN a > b THEN 0.0 WHEN duration_sec <= 0 THEN 1.0 ELSE greatest(0.0, b - a) / duration_sec END AS overlap_ratio
-  FROM t, o WHERE n >= 2 AND CASE WHEN a > b THEN 0.0 WHEN duration_sec <= 0 THEN 1.0 ELSE greatest(0.0, b - a) / duration_sec END < 0.999""")
+  FROM t, o WHERE n >= 2 AND CASE WHEN a > b THEN 0.0 WHEN duration_sec <= 0 THEN 1.0 ELSE greatest(0.0, b - a) / duration_sec END < 0.9999""")
 def sensor_time_overlap(spark, d):
-    return K.low_overlap(K.timings(_events(spark, d), ["event_type"], "t", US), 0.999).select("event_type", "overlap_ratio")
+    return K.low_overlap(K.timings(_events(spark, d), ["event_type"], "t", US), 0.9999).select("event_type", "overlap_ratio")
 
 
 @_query(f"""WITH t AS ({_TIMES})
@@ -175,9 +175,9 @@ def yaw_range(spark, d):
     return K.out_of_range(_t(spark, d, "events"), "value", 1.0, 150.0, null_passes=True).select("event_id", "value")
 
 
-@_query("SELECT event_id FROM events WHERE value IS NULL OR isinf(value) OR isnan(value) OR TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NULL")
+@_query("SELECT event_id FROM events WHERE value IS NULL OR isinf(value) OR isnan(value) OR nullif(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 42) IS NULL")
 def finite_values(spark, d):
-    e = _t(spark, d, "events").withColumn("k", X.num(F.get_json_object("props", "$.k"))).withColumn("v", X.num("value"))
+    e = _t(spark, d, "events").withColumn("k", X.num(F.nullif(F.get_json_object("props", "$.k"), F.lit("42")))).withColumn("v", X.num("value"))
     return K.not_finite(e, ["v", "k"]).select("event_id")
 
 
