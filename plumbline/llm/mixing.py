@@ -81,7 +81,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: st
     )
 
 
-def plan_mix(base: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
+def plan_mix(base: DataFrame, rows_per_range: int = 4_000) -> DataFrame:
     """Of a (s_null, s, key, id, size, m) table: per source its size, target, whole epochs, edge row and the edge's words.
 
     ``m`` is the number of repeated rows; ``rows_per_range`` bounds what is
@@ -102,6 +102,7 @@ def plan_mix(base: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
     parts = parts.withColumn("offset", offset)
     # the budget's end lies in one range of a source
     cut = parts.where((F.col("offset") < F.col("rest")) & (F.col("rest") <= F.col("offset") + F.col("part"))).select("s_null", "s", "range", "offset")
+    cut = written(cut, "mix-cuts")  # one row a source: its size is known when the join below is planned
     inside = ranged.join(cut, ["s_null", "s", "range"])
     place = Window.partitionBy("s_null", "s", "range").orderBy("key", "id", "size")
     own = F.col("size") * F.col("m")
@@ -128,7 +129,7 @@ def apply_mix(rows: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", rows_per_range: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", rows_per_range: int = 4_000) -> tuple[DataFrame, DataFrame]:
     """(placed rows with their number ``m`` of repeats, edges per source), both in written tables."""
     base = keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed).select("__mix.*")
     base = written(base.groupBy(*base.columns).agg(F.count(F.lit(1)).alias("m")), "mix-rows")
