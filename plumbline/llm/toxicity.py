@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -228,30 +229,38 @@ def label_tokens(texts: list[str | None], toxic: np.ndarray, least: int = 3, odd
     of four characters or more, is in at least ``least`` toxic documents and
     in a share of them ``odds`` times that of the clean ones.
     """
-    per = [[t.lower() for t in _tokens(x)] if x else [] for x in texts]
     marks = lambda w: {w, *(w[:n] + "*" for n in PREFIXES if n >= 4 and len(w) > n)}
+    lower = lambda x: [t.lower() for t in _tokens(x)] if x else []
+    toxic = np.asarray(toxic, bool)
     bad: Counter[str] = Counter()
+    for text in (t for t, y in zip(texts, toxic, strict=True) if y):
+        bad.update({m for w in set(lower(text)) for m in marks(w)})
+    bad = Counter({m: c for m, c in bad.items() if c >= least})
     good: Counter[str] = Counter()
-    for words, t in zip(per, toxic, strict=True):
-        seen = set(words)
-        (bad if t else good).update({m for w in seen for m in marks(w)})
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic.astype(bool)).sum()))
-    hot = {m for m, c in bad.items() if c >= least and c / n_bad >= odds * (good[m] + 1) / n_good}
-    return np.fromiter((bool(t) and not hot.isdisjoint(marks(w)) for words, t in zip(per, toxic, strict=True) for w in words), bool)
+    for text in (t for t, y in zip(texts, toxic, strict=True) if not y):
+        good.update({m for w in set(lower(text)) for m in marks(w) if m in bad})
+    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    hot = {m for m, c in bad.items() if c / n_bad >= odds * (good[m] + 1) / n_good}
+    return np.fromiter((bool(y) and not hot.isdisjoint(marks(w)) for text, y in zip(texts, toxic, strict=True) for w in lower(text)), bool)
 
 
 def fit_tokens(texts: list[str | None], labels: np.ndarray, rounds: int = 30, rate: float = 0.3, l2: float = 3e-5) -> SpanTagger:
     """Maximise the conditional log-likelihood of token labels (in text order) by Adam."""
     tokens, _, start = _laid_out(texts)
     words = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-    ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    features = [word_features(w) for w in words]
-    flat = np.fromiter((x for f in features for x in f[:-2]), np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(f) - 2 for f in features])
-    left, right = np.array([f[-2] for f in features]), np.array([f[-1] for f in features])
+    ids = np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens))
+    flat, owner, sides = array("i"), array("i"), array("i")
+    for i, w in enumerate(words):
+        f = word_features(w)
+        flat.extend(f[:-2])
+        owner.extend([i] * (len(f) - 2))
+        sides.extend(f[-2:])
+    flat, owner = np.array(flat, np.int32), np.array(owner, np.int32)
+    left, right = np.array(sides, np.int32).reshape(-1, 2).T
+    del tokens
     y = labels.astype(float)
     inner = ~start[1:]
-    n = len(tokens)
+    n = len(ids)
     theta = np.zeros(BUCKETS + 1 + 4)
     theta[BUCKETS] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -327,7 +336,7 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 2000, max_chars: int = 8_000_000) -> tuple[list[str | None], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 2000, max_chars: int = 5_000_000) -> tuple[list[str | None], np.ndarray]:
     """Texts and labels to fit on: up to ``max_docs`` of each class in hash order, ``max_chars`` characters in all."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("bigint").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
