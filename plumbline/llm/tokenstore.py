@@ -91,30 +91,16 @@ class Encoder:
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        get = cache.get
-        held: list[list[bytes | None]] = []
-        holes: list[tuple[int, int, str]] = []
-        for k, t in enumerate(texts):
-            if not t:
-                held.append([])
-            elif _other_space(t) or any(s in t for s in self.special):
-                held.append([self._whole(t)])
-            else:
-                pieces = _pieces(t)
-                ids = list(map(get, pieces))
-                at = -1
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    holes.append((k, at, pieces[at]))
-                held.append(ids)
-        new, code = list({p for _, _, p in holes}), "I" if self.wide else "H"
+        cut = [[] if not t else None if _other_space(t) or any(s in t for s in self.special) else _pieces(t) for t in texts]
+        # a batch has few different pieces: each is looked up once in the large cache, the rest in a small table
+        ids = {p: cache.get(p) for p in set().union(*(c for c in cut if c))}
+        new, code = [p for p, x in ids.items() if x is None], "I" if self.wide else "H"
         for at in range(0, len(new), 20_000):
             block = new[at : at + 20_000]
             for p, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False), strict=True):
-                cache[p] = array(code, e.ids).tobytes()
-        for k, at, p in holes:
-            held[k][at] = cache[p]
-        return [b"".join(ids) for ids in held]
+                ids[p] = cache[p] = array(code, e.ids).tobytes()
+        get = ids.__getitem__
+        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 @functools.cache
