@@ -55,7 +55,7 @@ from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 600_000
 
 _SPACE, _LETTER = " \t-\r", "A-Za-zÀ-ÖØ-öø-ÿ"
 #: ASCII white space, then either letters (of ASCII or Latin-1) up to an ASCII non-letter, or ASCII digits and marks but

@@ -52,7 +52,7 @@ _spans = re.compile(r"[^\W_]+").finditer
 BUCKETS = 1 << 17
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 5)
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def word_features(word: str) -> list[int]:
@@ -378,7 +378,7 @@ def tag(docs: DataFrame, model: SpanTagger, text_col: str = "text", spans: bool
             for i, t in enumerate(texts):
                 group.append(t)
                 size += len(t or "")
-                if size < 2_000_000 and i + 1 < len(texts):
+                if size < 1_000_000 and i + 1 < len(texts):
                     continue
                 tokens, counts, start = _laid_out(group)
                 logit = field_.logits(tokens, start, vocabulary)
