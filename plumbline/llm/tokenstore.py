@@ -24,10 +24,10 @@ those of its chunks in recipe order (CRC-32 of a concatenation follows from the
 parts), and its Merkle root and number of ids must agree with the recipe.
 
 Ids come from the tokenizers library.  Its byte-level splitting never joins
-text across a change from non-space to ASCII white space, or from a letter to
-an ASCII mark or digit and back, so texts are cut there and repeated pieces
-are encoded once; texts with other white space or
-with a special token's string are encoded whole.
+text across a change from non-space to a space or line end, or from a letter
+to an ASCII mark or digit, so texts are cut there, by Arrow kernels, and each
+different piece is encoded once; texts with other white space or with a
+special token's string are encoded whole.
 
 Defined cases: a null or empty text is the end id alone.  Null doc_ids sort
 first.  Rows of equal doc_id follow in order of their Merkle roots.  Extra
@@ -45,6 +45,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,14 +56,13 @@ from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 
-_SPACE, _LETTER = " \t-\r", "A-Za-zÀ-ÖØ-öø-ÿ"
-#: ASCII white space, then either letters (of ASCII or Latin-1) up to an ASCII non-letter, or ASCII digits and marks but
-#: the apostrophe up to a letter or space, or else all up to the next space.
-_pieces = re.compile(rf"[{_SPACE}]*(?:[{_LETTER}]++(?=[\x00-\x7f]|\Z)|[!-&(-@\[-`{{-~]++(?=[{_LETTER}{_SPACE}]|\Z)|[^{_SPACE}]+)|[{_SPACE}]+").findall
-#: White space beyond ASCII's, and what some engines take for it.
-_other_space = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]").search
+#: Cut mark, and where a letter (of ASCII or Latin-1) meets an ASCII mark or digit other than the apostrophe.
+_CUT = "\x01"
+_LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-@\[-`{-~])"
+#: Texts encoded whole: with the cut mark, white space ahead of a space or line end, or white space beyond ASCII's.
+_UNCUT = r"\x01|[\t-\r ][ \n]|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 
 def default_tokenizer() -> str:
@@ -79,28 +79,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = "|".join([_UNCUT, *special])
         self.cache: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
+        self.cache[""] = b""
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
+    def batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring_regex(texts.filter(pa.array(~whole)), _LETTER_MARK, rf"\1{_CUT}\2")
+        for c in " \n":
+            marked = pc.replace_substring(marked, c, _CUT + c)
+        pieces = pc.split_pattern(marked, _CUT)
+        coded = pieces.flatten().dictionary_encode()
+        ids, sizes = self._ids(coded.dictionary.to_pylist())
+        # ids of all pieces in order: each piece is a run in the ids of the different pieces
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        starts = (np.cumsum(sizes) - sizes)[at]
+        flat = ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))]] * ids.itemsize
+        cut = iter([flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        return [self._whole(texts[i].as_py()) if w else next(cut) for i, w in enumerate(whole.tolist())]
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and their numbers."""
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        cut = [[] if not t else None if _other_space(t) or any(s in t for s in self.special) else _pieces(t) for t in texts]
-        # a batch has few different pieces: each is looked up once in the large cache, the rest in a small table
-        ids = {p: cache.get(p) for p in set().union(*(c for c in cut if c))}
-        new, code = [p for p, x in ids.items() if x is None], "I" if self.wide else "H"
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
-            for p, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False), strict=True):
-                ids[p] = cache[p] = array(code, e.ids).tobytes()
-        get = ids.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+            cache[""] = b""
+        found = list(map(cache.get, pieces))
+        holes = [i for i, x in enumerate(found) if x is None]
+        code = "I" if self.wide else "H"
+        for at in range(0, len(holes), 20_000):
+            block = holes[at : at + 20_000]
+            encoded = self.tokenizer.encode_batch([pieces[i] for i in block], add_special_tokens=False)
+            for i, e in zip(block, encoded, strict=True):
+                found[i] = cache[pieces[i]] = array(code, e.ids).tobytes()
+        raw = np.frombuffer(b"".join(found), self.kind)
+        return raw, np.fromiter(map(len, found), np.int64, len(found)) // raw.itemsize
 
 
 @functools.cache
@@ -211,13 +235,13 @@ def _encode(path: str):
         end_id = np.array([END_ID], enc.kind).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                streams = [s + end_id for s in enc.batch(texts.slice(at, 256).to_pylist())]
+            for at in range(0, len(doc_ids), 1024):
+                streams = [s + end_id for s in enc.batch(texts.slice(at, 1024))]
                 raw = b"".join(streams)
                 cuts = cut_points(np.frombuffer(raw, enc.kind))
                 chunks, payloads, recipes = [], [], []
                 start = 0
-                for doc, s in zip(doc_ids[at : at + 256], streams, strict=True):
+                for doc, s in zip(doc_ids[at : at + 1024], streams, strict=True):
                     end = start + len(s) // width
                     own, begin = [], start
                     for stop in chunk_ends(cuts, start, end):

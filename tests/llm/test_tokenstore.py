@@ -72,7 +72,7 @@ def test_chunks_bound_and_cover():
 
 def test_pieces_encode_like_whole_texts():
     rng = random.Random(11)
-    parts = ["a", "Ab", "é", "ÿ", "×", "—", "…", "日", "'", "'s", "'t", "’", "1", "23", ".", ",", "!!", "##", " ", "  ", "\n", "\t", "\r\n", "\x0b", "_", "\x00", "\x7f", "\u0301", "🙂", "½", "ª", "ſ"]
+    parts = ["a", "Ab", "é", "ÿ", "×", "—", "…", "日", "'", "'s", "'t", "’", "1", "23", ".", ",", "!!", "##", " ", "  ", "\n", "\t", "\r\n", "\x0b", "_", "\x00", "\x7f", "\u0301", "🙂", "½", "ª", "ſ", "\x01", "\u00a0", "<|endoftext|>", "hello", ", "]
     enc = ts.Encoder(ts.default_tokenizer())
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
     for text, ids in zip(texts, enc.batch(texts)):
