@@ -119,13 +119,14 @@ def apply_mix(rows: DataFrame, edges: DataFrame) -> DataFrame:
     at = F.struct("__mix.key", "__mix.id", "__mix.size")
     joined = rows.join(e, (F.col("__mix.s_null") == F.col("__e_s_null")) & (F.col("__mix.s") == F.col("__e_s")))
     before, on = F.coalesce(at < F.col("__e_edge"), F.lit(False)), F.coalesce(at == F.col("__e_edge"), F.lit(False))
+    most = on & (2 * F.col("__e_edge_words") >= F.col("__mix.size"))
     more = F.when(before, F.col("__mix.size")).when(on, F.col("__e_edge_words")).otherwise(F.lit(0))
     return joined.select(
         *rows.columns,
         F.col("__e_source_size").alias("__source_size"),
         F.col("__e_target").alias("__target"),
         (F.col("__e_epochs") * F.col("__mix.size") + more).cast("bigint").alias("__taken"),
-        (F.col("__e_epochs") + (before | on).cast("bigint")).cast("int").alias("__copies"),
+        (F.col("__e_epochs") + (before | F.coalesce(most, F.lit(False))).cast("bigint")).cast("int").alias("__copies"),
     )
 
 
@@ -144,7 +145,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, the one on a source's edge whole."""
+    """Pipeline stage: each document as often as the mix takes it; the one on a source's edge whole if the mix takes half of it."""
     _, edges = mixture(docs)
     placed = apply_mix(keyed(docs, "doc_id", "text", "source", "mix"), edges)
     copies = F.explode(F.expr("if(__copies > 0, sequence(1, __copies), array())"))
