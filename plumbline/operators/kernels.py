@@ -40,6 +40,17 @@ def gaps(df: DataFrame, part: list[str], order: list[str], ts: str = "ts", kind:
     return df.withColumn("gap_sec", seconds(F.col(ts) - F.lag(ts).over(w), per))
 
 
+#: Pairs of streams are formed only below this number of streams.
+MAX_STREAMS = 20_000
+
+
+def _few(streams: DataFrame) -> DataFrame:
+    """A table of one row a stream, checked to be small enough to pair and to broadcast."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    checked = F.assert_true(n <= MAX_STREAMS, f"more than {MAX_STREAMS} streams can't be paired")
+    return streams.withColumn("__few", checked).where("__few IS NULL").drop("__few")
+
+
 # -- timestamps ---------------------------------------------------------------
 
 
@@ -126,7 +137,8 @@ def low_overlap(times: DataFrame, least: float) -> DataFrame:
 
 
 def pairs(times: DataFrame, name: str) -> DataFrame:
-    """Unordered pairs of streams by name: a_*, b_* of a small per-stream table."""
+    """Unordered pairs of streams by name: a_*, b_* of a per-stream table of at most ``MAX_STREAMS`` rows."""
+    times = _few(times)
     a = times.select(*[F.col(c).alias(f"a_{c}") for c in times.columns])
     b = times.select(*[F.col(c).alias(f"b_{c}") for c in times.columns])
     return a.join(F.broadcast(b), F.col(f"a_{name}") < F.col(f"b_{name}"))
@@ -146,12 +158,12 @@ def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, fro
     n log n, one shuffle, no cross product.
     """
     rows = df.where(F.col(ts).isNotNull()).select(F.col(name).alias("s"), F.col(ts).alias("t"))
-    counts = rows.groupBy("s").count()
+    counts = _few(rows.groupBy("s").count())
     a, b = counts.select(F.col("s").alias("a"), F.col("count").alias("an")), counts.select(F.col("s").alias("b"), F.col("count").alias("bn"))
     left = F.lit(True) if from_left else F.col("an") <= F.col("bn")
     pair = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.when(left, F.col("a")).otherwise(F.col("b")).alias("source"))
     sides = pair.select("a", "b", F.explode(F.array("a", "b")).alias("s"), "source")
-    both = rows.join(F.broadcast(sides), "s").select("a", "b", "t", (F.col("s") == F.col("source")).alias("asks"))
+    both = rows.join(sides, "s").select("a", "b", "t", (F.col("s") == F.col("source")).alias("asks"))
     w = Window.partitionBy("a", "b").orderBy("t", "asks")
     target = F.when(~F.col("asks"), F.col("t"))
     before = F.last(target, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
