@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import kernels as K
+from plumbline.session import ship_package
 from plumbline.sources.adapters.base import Adapter, Found
 from plumbline.sources.files import Store
 
@@ -219,6 +220,7 @@ def payload_problem(path: str, raw: bytes, size: int) -> tuple[str | None, int |
 def payload_summary(frames: DataFrame, store: Store, max_rows: int) -> DataFrame:
     """Heads of the first ``max_rows`` payloads, opened on the executors."""
     spark = frames.sparkSession
+    ship_package(spark)
     sizes = store.index(spark).where("NOT is_dir").select(F.col("rel_path").alias("file_path"), "size")
     some = frames.orderBy("ord").limit(max_rows).select("frame_id", "file_path", "ord").join(sizes, "file_path")
     base = store.base
