@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import ship_package
+
 #: ASCII white space, as the operators define it (\x20 and \x09-\x0D).
 ASCII_WS = "\\x20\\x09-\\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, whatever store it is in."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it.  Only where that is unset, as in local
     tests, a temporary folder of this machine is made and kept for the session.
     """
+    ship_package(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("plumbline.local.checkpoint.dir", None)
