@@ -314,7 +314,7 @@ def _verify(batches):
     """(a, b, text of a, text of b) -> the pairs that reach the similarity on exact shingle sets."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for x, y in ((batch.column(2)[i].as_py(), batch.column(3)[i].as_py()) for i in range(batch.num_rows)):
             p, q = shingle_hashes(x), shingle_hashes(y)
             both = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(both >= STAGE_SIMILARITY * (len(p) + len(q) - both))

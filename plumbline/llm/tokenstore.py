@@ -56,7 +56,7 @@ from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 
 #: Cut mark, and where a letter (of ASCII or Latin-1) meets an ASCII mark or digit other than the apostrophe.
 _CUT = "\x01"
@@ -71,14 +71,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def _tokenizer(path: str):
+    """One tokenizer a worker process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
-    """Text -> little-endian ids as bytes (16 bits each, 32 where the vocabulary needs it), through a bounded cache of pieces."""
+    """Text -> little-endian ids as bytes (16 bits each, 32 where the vocabulary needs it), through a bounded cache of pieces that lives as long as the task."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = "|".join([_UNCUT, *special])
         self.cache: dict[str, bytes] = {}
@@ -127,12 +133,6 @@ class Encoder:
         return raw, np.fromiter(map(len, found), np.int64, len(found)) // raw.itemsize
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process; its cache outlives tasks."""
-    return Encoder(path)
-
-
 @functools.cache
 def _gear(n: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20_011).integers(0, 1 << 63, n, dtype=np.uint64)
@@ -228,7 +228,7 @@ def _encode(path: str):
     """(doc_id, text) -> a recipe row a document, and a chunk row for each chunk that this task sees first."""
 
     def run(batches):
-        enc = encoder(path)
+        enc = Encoder(path)
         width = 4 if enc.wide else 2
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
         seen: set[bytes] = set()
@@ -441,7 +441,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "token-store")
     write_store(docs, folder)
-    return read_store(spark, folder, encoder(default_tokenizer()).wide)
+    return read_store(spark, folder, Encoder(default_tokenizer()).wide)
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
