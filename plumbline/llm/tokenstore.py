@@ -56,7 +56,7 @@ from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 
 #: Cut mark, and where a letter (of ASCII or Latin-1) meets an ASCII mark or digit other than the apostrophe.
 _CUT = "\x01"
@@ -81,16 +81,20 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Text -> little-endian ids as bytes (16 bits each, 32 where the vocabulary needs it), through a bounded cache of pieces that lives as long as the task."""
+    """Text -> little-endian ids as bytes (16 bits each, 32 where the vocabulary needs it), through a bounded cache.
+
+    The cache has two generations of at most ``CACHE_PIECES``: pieces that are
+    asked for again move to the young one, the others go with the old one.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = "|".join([_UNCUT, *special])
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        self.cache[""] = b""
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -117,12 +121,16 @@ class Encoder:
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and their numbers."""
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-            cache[""] = b""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {"": b""}, self.young
+        cache, old = self.young, self.old
         found = list(map(cache.get, pieces))
-        holes = [i for i, x in enumerate(found) if x is None]
+        holes = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (x := old.get(pieces[i])) is None:
+                holes.append(i)
+            else:
+                found[i] = cache[pieces[i]] = x
         code = "I" if self.wide else "H"
         for at in range(0, len(holes), 20_000):
             block = holes[at : at + 20_000]
@@ -133,6 +141,12 @@ class Encoder:
         return raw, np.fromiter(map(len, found), np.int64, len(found)) // raw.itemsize
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process; its cache outlives tasks."""
+    return Encoder(path)
+
+
 @functools.cache
 def _gear(n: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20_011).integers(0, 1 << 63, n, dtype=np.uint64)
@@ -228,7 +242,7 @@ def _encode(path: str):
     """(doc_id, text) -> a recipe row a document, and a chunk row for each chunk that this task sees first."""
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         width = 4 if enc.wide else 2
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
         seen: set[bytes] = set()
@@ -441,7 +455,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "token-store")
     write_store(docs, folder)
-    return read_store(spark, folder, Encoder(default_tokenizer()).wide)
+    return read_store(spark, folder, encoder(default_tokenizer()).wide)
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
