@@ -56,7 +56,7 @@ from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 
 #: Cut mark, and where a letter (of ASCII or Latin-1) meets an ASCII mark or digit other than the apostrophe.
 _CUT = "\x01"
@@ -114,7 +114,11 @@ class Encoder:
         lengths = sizes[at]
         ends = np.cumsum(lengths)
         starts = (np.cumsum(sizes) - sizes)[at]
-        flat = ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(ids)) < 2**31 else np.int64
+        place = np.repeat((starts - ends + lengths).astype(kind), lengths)
+        place += np.arange(total, dtype=kind)
+        flat = ids[place].tobytes()
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))]] * ids.itemsize
         cut = iter([flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
         return [self._whole(texts[i].as_py()) if w else next(cut) for i, w in enumerate(whole.tolist())]
