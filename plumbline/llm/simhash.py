@@ -295,19 +295,44 @@ def _sampled(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(1) > k, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def _stage_prints(batches):
-    for batch in batches:
-        fps, sizes, whole, samples = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            h = shingle_hashes(text)
-            fps.append(fingerprint(text))
-            sizes.append(len(h))
-            whole.append(xxhash.xxh3_128_digest(h.tobytes()))
-            samples.append(_sampled(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(samples, pa.list_(pa.int64()))],
-            names=["doc", "fp", "size", "whole", "samples"],
-        )
+#: Part of the documents in which common shingles are looked for, how many are taken, members of a shared shingle up to which pairs are written, homes in a slice beyond.
+LOOK, COMMON, COLD, SLICE = 64, 50_000, 64, 1024
+
+
+def _common(slim: DataFrame) -> np.ndarray:
+    """Hashes of shingles that several documents of a small part share; they only set the order, so any list is right."""
+
+    def run(batches):
+        for batch in batches:
+            h = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    part = slim.where(F.pmod(F.xxhash64("doc"), F.lit(LOOK)) == 0).mapInArrow(run, "h bigint")
+    often = part.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(often.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, common ones last: sets of similarity 0.8 share one of them."""
+    last = np.isin(hashes, common) if len(common) else np.zeros(len(hashes), bool)
+    n = len(hashes)
+    return np.concatenate([hashes[~last], hashes[last]])[: n - (4 * n + 4) // 5 + 1] if n else hashes
+
+
+def _stage_prints(common: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            sizes, whole, samples, prefix = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                h = shingle_hashes(text)
+                sizes.append(len(h))
+                whole.append(xxhash.xxh3_128_digest(h.tobytes()))
+                samples.append(_sampled(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                prefix.append(_prefix(h, common).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(samples, longs), pa.array(prefix, longs)], names=["doc", "size", "whole", "samples", "prefix"])
+
+    return run
 
 
 def _verify(batches):
@@ -321,38 +346,163 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc, component): groups of documents whose sets of five-word shingles have a similarity of 0.8 or more.
+def _may_reach(x_size, x_at, y_size, y_at):
+    """Whether the set x, not larger than y, can have a similarity of 0.8 if the first shingle they share is at these places."""
+    return (5 * x_size >= 4 * y_size) & (9 * np.minimum(x_size - x_at, y_size - y_at) >= 4 * (x_size + y_size))
+
 
-    The query's two bits are too strict for edited copies (at a similarity of
-    0.8 the fingerprints differ in up to some 14 bits), so here candidates are the
-    anchored links and, besides, documents with an equal SimHash of a sample of
-    their shingles.  Equal shingle sets collapse first.  In a group of equal
-    samples each document is paired with the smallest only, so candidates grow
-    with the documents; each pair is then verified on the exact sets.
+def _pairs(batches):
+    """Rows (shingle, doc, component, size, place) sorted by shingle, at most COLD each: pairs of different components that may reach the similarity."""
+    left = None
+    for batch in batches:
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+        now = now if left is None else np.concatenate([left, now], 1)
+        cuts = np.flatnonzero(np.diff(now[0])) + 1
+        done = cuts[-1] if len(cuts) else 0
+        left = now[:, done:]
+        yield _pairs_of(now[:, :done], cuts[:-1])
+    if left is not None:
+        yield _pairs_of(left, np.zeros(0, np.int64))
+
+
+def _pairs_of(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    out = [np.zeros((2, 0), np.int64)]
+    for g in np.split(rows, cuts, axis=1):
+        g = g[:, np.lexsort((g[1], g[3]))]
+        i, j = np.triu_indices(g.shape[1], 1)
+        ok = (g[2][i] != g[2][j]) & _may_reach(g[3][i], g[4][i], g[3][j], g[4][j])
+        out.append(np.stack([g[1][i[ok]], g[1][j[ok]]]))
+    a, b = np.concatenate(out, 1)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+class _Slice:
+    """Homes of a slice, with an index of their shingles; components already joined are not compared again."""
+
+    def __init__(self, parts: list[tuple]):
+        self.doc, self.comp, self.size, self.at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        sets = [s for p in parts for s in p[4]]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner, self.root, self.forest = flat[order], owner[order], self.comp.copy(), _Forest()
+
+    def join(self, doc: int, comp: int, size: int, at: int, hashes: np.ndarray) -> list[tuple[int, int]]:
+        first = (self.size < size) | ((self.size == size) & (self.doc < doc))
+        open_ = np.flatnonzero(first & (self.root != self.forest.root(comp)) & _may_reach(self.size, self.at, size, at))
+        if not len(open_):
+            return []
+        a, n = np.searchsorted(self.flat, hashes), np.searchsorted(self.flat, hashes, "right")
+        n = n - a
+        at_all = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at_all], minlength=len(self.doc))[open_]
+        links = []
+        for other in self.comp[open_[both >= STAGE_SIMILARITY * (self.size[open_] + size - both)]].tolist():
+            if self.forest.join(comp, other):
+                links.append((min(comp, other), max(comp, other)))
+                roots = np.unique(self.root)
+                self.root = np.array([self.forest.root(r) for r in roots.tolist()])[np.searchsorted(roots, self.root)]
+        return links
+
+
+def _resolve(batches):
+    """Rows (shingle, slice, home, doc, component, size, place, set) sorted, homes first: links between components, all pairs of the slice compared."""
+    key, homes, made = None, [], None
+    for batch in batches:
+        token, piece, home, doc, comp, size, at = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
+        sets = batch.column(7)
+        cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(piece) != 0) | (np.diff(home) != 0)) + 1
+        links: list[tuple[int, int]] = []
+        for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(token)], strict=True):
+            if start == end:
+                continue
+            if key != (token[start], piece[start]):
+                key, homes, made = (token[start], piece[start]), [], None
+            own = [sets[i].values.to_numpy(zero_copy_only=False) for i in range(start, end)]
+            if home[start]:
+                homes.append((doc[start:end], comp[start:end], size[start:end], at[start:end], own))
+            elif homes:
+                made = made or _Slice(homes)
+                for i, s in zip(range(start, end), own, strict=True):
+                    links += made.join(int(doc[i]), int(comp[i]), int(size[i]), int(at[i]), s)
+        if links:
+            a, b = np.array(links, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _sets(batches):
+    for batch in batches:
+        sets = [shingle_hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "set"])
+
+
+def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents that reach the similarity."""
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    texts = slim.join(wanted, "doc", "left_semi")
+    one = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return two.mapInArrow(_verify, "a bigint, b bigint")
+
+
+def _rest(nodes: DataFrame, slim: DataFrame, cold: int = COLD, slice_: int = SLICE) -> DataFrame:
+    """Links (a, b) between different components of ``nodes`` (doc, size, prefix, component), so that with them no pair of similarity 0.8 is apart.
+
+    Two such sets share a shingle of their prefixes.  Up to ``cold`` members of
+    a shingle are paired and verified on their texts; beyond that the members'
+    sets go past slices of at most about ``slice_`` of them.
+    """
+    spark = nodes.sparkSession
+    placed = nodes.select("doc", "component", "size", F.posexplode("prefix").alias("at", "token"))
+    shared = placed.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("k > 1 AND low <> high")
+    shared = written(shared.select("token", "k"), "near-shared")
+    few = placed.join(shared.where(F.col("k") <= cold), "token").select("token", "doc", "component", "size", "at")
+    pairs = few.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_pairs, "a bigint, b bigint")
+    found = _verified(written(pairs.distinct(), "near-rest"), slim)
+    hot = shared.where(F.col("k") > cold).select("token", F.ceil(F.col("k") / slice_).alias("slices"))
+    many = written(placed.join(hot, "token"), "near-many")
+    sets = written(slim.join(many.select("doc").distinct(), "doc", "left_semi").mapInArrow(_sets, "doc bigint, set array<bigint>"), "near-sets")
+    # a set goes past every slice, and is at home in one if the shorter of a pair can have its first shared shingle there
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)
+    past = many.select("token", F.explode(every).alias("slice"), F.lit(0).alias("home"), "doc", "component", "size", "at")
+    index = F.col("at") <= F.col("size") - F.ceil(8 * F.col("size") / 9)
+    homes = many.where(index).select("token", F.pmod(F.xxhash64("doc"), "slices").alias("slice"), F.lit(1).alias("home"), "doc", "component", "size", "at")
+    rows = homes.unionByName(past).join(sets, "doc").select("token", "slice", "home", "doc", "component", "size", "at", "set")
+    dealt = rows.repartition(shuffle_partitions(spark), "token", "slice").sortWithinPartitions("token", "slice", F.desc("home"))
+    return found.unionByName(dealt.mapInArrow(_resolve, "a bigint, b bigint").distinct())
+
+
+def similar_groups(docs: DataFrame, **limits) -> DataFrame:
+    """(doc, component): groups of documents linked by a similarity of 0.8 or more of their sets of five-word shingles, no link left out.
+
+    Equal shingle sets collapse first.  Documents with an equal SimHash of a
+    sample of their shingles are then paired with the smallest of them only and
+    verified on the exact sets, which joins most copies at a cost that grows
+    with the documents.  What that leaves apart is searched exactly: see
+    :func:`_rest`.  Of an id with several texts the one that the stage keeps counts.
     """
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    prints = written(slim.mapInArrow(_stage_prints, "doc bigint, fp bigint, size bigint, whole binary, samples array<bigint>"), "near-prints")
-    nodes = written(prints.groupBy("whole").agg(F.min(F.struct("doc", "fp", "size", "samples")).alias("n")).select("whole", "n.*"), "near-nodes")
-    anchored = links(nodes.where("size > 0").groupBy("fp").agg(F.min("doc").alias("node")).select("node", "fp"))
-    same_fp = nodes.where("size > 0").select(F.lit(-1).alias("nth"), F.col("fp").alias("print"), "doc", "size")
-    buckets = nodes.select(F.posexplode("samples").alias("nth", "print"), "doc", "size").unionByName(same_fp)
+    if _repeats(slim):
+        same_id = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
+        slim = written(slim.withColumn("nth", F.row_number().over(same_id)).where("nth = 1").drop("nth"), "near-texts")
+    prints = written(slim.mapInArrow(_stage_prints(_common(slim)), "doc bigint, size bigint, whole binary, samples array<bigint>, prefix array<bigint>"), "near-prints")
+    least = prints.groupBy("whole").agg(F.min("doc").alias("doc"))
+    nodes = written(prints.join(least, ["whole", "doc"], "left_semi"), "near-nodes")
+    buckets = nodes.select(F.posexplode("samples").alias("nth", "print"), "doc", "size")
     first = buckets.groupBy("nth", "print").agg(F.min(F.struct("doc", "size")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("nth", "print", F.col("f.doc").alias("a"), F.col("f.size").alias("a_size"))
     close = F.least("a_size", "size") >= STAGE_SIMILARITY * F.greatest("a_size", "size")
     pairs = buckets.join(first, ["nth", "print"]).where((F.col("doc") != F.col("a")) & close).select("a", F.col("doc").alias("b"))
-    pairs = written(pairs.unionByName(anchored).distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = slim.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")) if _repeats(prints) else slim.join(wanted, "doc", "left_semi")
-    one = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    comp = components(two.mapInArrow(_verify, "a bigint, b bigint"))
-    named = nodes.join(comp, nodes["doc"] == comp["node"], "left").select("whole", F.coalesce("component", "doc").alias("component"))
-    return prints.join(named, "whole").select("doc", "component")
+    joined = components(_verified(written(pairs.distinct(), "near-pairs"), slim))
+    named = nodes.join(joined, nodes["doc"] == joined["node"], "left").select("whole", "doc", "size", "prefix", F.coalesce("component", "doc").alias("component"))
+    named = written(named, "near-named")
+    more = components(_rest(named, slim, **limits)).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    ends = named.select("whole", "component").join(more, "component", "left").select("whole", F.coalesce("least", "component").alias("component"))
+    return prints.select("doc", "whole").join(ends, "whole").select("doc", "component")
 
 
-def _repeats(prints: DataFrame) -> bool:
+def _repeats(docs: DataFrame) -> bool:
     """Whether some id has several rows."""
-    return not prints.groupBy("doc").count().where("count > 1").isEmpty()
+    return not docs.groupBy("doc").count().where("count > 1").isEmpty()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,3 +119,51 @@ def test_stage_catches_edited_copies_and_leaves_others(spark):
             assert i in kept
         elif similarity >= 0.9:
             assert i not in kept, (i, similarity, len(texts[i].split()))
+
+
+def plain_groups(docs):
+    """Component of each document by all pairs of similarity 0.8 or more."""
+    sets = {i: set(simhash.shingle_hashes(t).tolist()) for i, t in docs}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in sets}
+
+
+def passage_docs(n=60, share=0.8, size=100):
+    """Documents that share a passage; every third is an edited copy of the one before it."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(int(share * size))]
+    docs, last = [], None
+    for i in range(n):
+        if i % 3 == 2:
+            own = last[:]
+            own[rng.randrange(5, len(own) - 5)] = word()
+        else:
+            own = [word() for _ in range(size - len(passage))]
+        last = own
+        docs.append((i, " ".join(passage + own)))
+    return docs
+
+
+def groups(spark, docs, **limits):
+    found = simhash.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), **limits)
+    return {r.doc: r.component for r in found.collect()}
+
+
+def test_stage_finds_pairs_whose_leader_is_another(spark):
+    docs = passage_docs()
+    want = plain_groups(docs)
+    assert len(set(want.values())) < len(docs)
+    assert groups(spark, docs) == want
+    assert groups(spark, docs, cold=3, slice_=7) == want
