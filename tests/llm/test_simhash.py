@@ -167,3 +167,21 @@ def test_stage_finds_pairs_whose_leader_is_another(spark):
     assert len(set(want.values())) < len(docs)
     assert groups(spark, docs) == want
     assert groups(spark, docs, cold=3, slice_=7) == want
+
+
+def edited_pairs(n, lead=""):
+    """Pairs of documents of a similarity from 0.8 to 0.85, unlike all others."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    docs = []
+    for i in range(n):
+        own = [word() for _ in range(49)]
+        other = own[:20] + [word()] + own[21:]
+        docs += [(2 * i, f"{lead}{' '.join(own)}"), (2 * i + 1, f"{lead}{' '.join(other)}")]
+    return docs
+
+
+def test_stage_keeps_links_among_equal_fingerprints(spark):
+    docs = edited_pairs(400, "one two three four five " * 60)
+    assert len({simhash.fingerprint(t) for _, t in docs}) < 40
+    assert groups(spark, docs) == {i: i - i % 2 for i, _ in docs}
