@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of 16 to 512 key characters with a digit in them.  A text
+Candidates are runs of 16 or more key characters with a digit in them.  A text
 is split at its candidates, so the pieces between them are each candidate's
 neighbouring words.  Features: length and character classes, transitions
 between classes, distinct characters, coverage by dictionary words, known key
@@ -20,9 +20,10 @@ checksums, uuids, card and phone numbers, slugs, encoded images, versions and
 placeholders.  Own findings can be given instead.
 
 Defined cases: null and empty texts have no candidates and give no row.  A
-null path counts as empty.  Repeated rows give repeated findings.  A longer
-run than 512 characters is cut into runs of 512.  An empty table gives an
-empty result.
+null path counts as empty.  Repeated rows give repeated findings.  A run of
+528 or more characters is cut into pieces of 512, the last of 16 to 527, so no
+character is lost; inside the run a piece has no neighbouring words.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,80}[0-9])[A-Za-z0-9_+/=.\-]{16,512}"
+#: A whole run with a digit somewhere in it, and the pieces that a run is cut into.
+RUN = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*+[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
+PIECE = r"[A-Za-z0-9_+/=.\-]{512}(?=[A-Za-z0-9_+/=.\-]{16})|[A-Za-z0-9_+/=.\-]{16,527}"
+#: Both in one, for plain scans of a text: all but the pieces behind the last digit of a run.
+CANDIDATE = rf"(?=[A-Za-z_+/=.\-]*+[0-9])(?:{PIECE})"
 #: Characters of text before and after a candidate that count as its neighbours.
 NEAR = 48
 #: Words that make an identifier readable.
@@ -47,12 +52,16 @@ PLAIN_PATHS = r"(?i)(test|example|sample|fixture|doc|mock|readme)"
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(doc_id, nth, candidate, before, after, path), one row a candidate."""
-    hit = docs.where(F.col(text_col).rlike(CANDIDATE))
-    found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
-    between = F.split(F.col(text_col), CANDIDATE, -1)
+    hit = docs.where(F.col(text_col).rlike(RUN))
+    runs = F.regexp_extract_all(F.col(text_col), F.lit(RUN), F.lit(0))
+    found = F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(PIECE), F.lit(0)))
+    between = F.split(F.col(text_col), RUN, -1)
     near = F.transform(between, lambda x: F.struct(F.right(x, F.lit(NEAR)).alias("tail"), F.left(x, F.lit(NEAR)).alias("head")))
     rows = hit.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), found.alias("found"), near.alias("near"))
-    each = F.arrays_zip(F.col("found").alias("c"), F.slice("near", 1, F.size("found")).alias("b"), F.slice("near", 2, F.size("found")).alias("a"))
+    ends = F.arrays_zip(F.col("found").alias("c"), F.slice("near", 1, F.size("found")).alias("b"), F.slice("near", 2, F.size("found")).alias("a"))
+    none = F.struct(F.lit("").alias("tail"), F.lit("").alias("head"))
+    piece = lambda x: lambda c, i: F.struct(c.alias("c"), F.when(i == 0, x["b"]).otherwise(none).alias("b"), F.when(i == F.size(x["c"]) - 1, x["a"]).otherwise(none).alias("a"))
+    each = F.flatten(F.transform(ends, lambda x: F.transform(x["c"], piece(x))))
     out = rows.select("doc_id", "path", F.posexplode(each).alias("nth", "x"))
     return out.select("doc_id", "nth", F.col("x.c").alias("candidate"), F.col("x.b.tail").alias("before"), F.col("x.a.head").alias("after"), "path")
 
