@@ -96,8 +96,9 @@ _EPS = 1e-6  # relative slack of floating-point bounds
 def plan(summary: list[tuple], pivots: dict[int, np.ndarray], k: int, block_rows: int) -> tuple[dict, dict]:
     """Blocks of each (dim, cell), and the (dim, cell)s that the queries of a (dim, cell) need.
 
-    ``summary`` rows: dim, cell, rows, radius, queries, radius of the queries.
-    Own rows can't be told apart here, so a lower bound counts k + 1 rows.
+    ``summary`` rows: dim, cell, rows, radius, queries, radius of the queries,
+    and the most rows that share the id of one of the queries (1 if left out).
+    Own rows can't be told apart here, so a lower bound counts k and those.
     """
     blocks: dict[tuple[int, int], tuple[int, int]] = {}
     number, room = 0, 0
@@ -122,7 +123,7 @@ def plan(summary: list[tuple], pivots: dict[int, np.ndarray], k: int, block_rows
             slack = _EPS * (np.abs(mid) + reach + 1)
             low, high = mid - reach - slack, mid + reach + slack
             order = np.argsort(-low)
-            enough = np.searchsorted(np.cumsum(size[order]), k + 1)
+            enough = np.searchsorted(np.cumsum(size[order]), k + (s[6] if len(s) > 6 else 1))
             floor = low[order[enough]] if enough < len(order) else -np.inf
             needs[dim, s[1]] = [own[i][1] for i in np.flatnonzero(high >= floor)]
     return blocks, needs
@@ -205,8 +206,9 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, n_pivots: int = 25
     one = queries.groupBy("id").agg(F.min("v").alias("v"))
     asked = written(one.mapInArrow(_cells(centres), cells), "knn-queries")
     per = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("far"))
-    per_q = asked.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("queries"), F.max("far").alias("q_far"))
-    summary = [(r.dim, r.cell, r.rows or 0, r.far or 0.0, r.queries or 0, r.q_far or 0.0) for r in per.join(per_q, ["dim", "cell"], "full").collect()]
+    repeated = placed.groupBy("id").agg(F.count(F.lit(1)).alias("same")).where("same > 1")
+    per_q = asked.join(repeated, "id", "left").groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("queries"), F.max("far").alias("q_far"), F.max("same").alias("same"))
+    summary = [(r.dim, r.cell, r.rows or 0, r.far or 0.0, r.queries or 0, r.q_far or 0.0, r.same or 1) for r in per.join(per_q, ["dim", "cell"], "full").collect()]
     blocks, needs = plan(summary, centres, k, block_rows)
     by_cell = [(d, c, first, pieces) for (d, c), (first, pieces) in blocks.items()]
     # at most one row a cell, and a list of block numbers a cell that has queries

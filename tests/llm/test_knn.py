@@ -51,3 +51,16 @@ def test_bounds_leave_cells_out():
 def test_few_and_no_rows(spark, tmp_path):
     assert run(spark, [(0, [1.0, 2.0]), (1, [1.0, 1.0])], tmp_path, "a") == [(0, 1, 1, 3 * 65536)]
     assert run(spark, [], tmp_path, "b") == []
+
+
+def test_ids_of_several_rows_in_small_blocks(spark):
+    rows = [(0, [10.0, float(y)]) for y in (0, 0, 0)] + [(i, [9.0 - i, 0.0]) for i in range(1, 8)] + [(50, [-8.0, 1.0])] * 4 + [(i, [-1.0 * i / 20, 1.0]) for i in range(100, 130)]
+    data = knn.quantized(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    got = knn.knn_join(data.where("id % 50 = 0"), data, n_pivots=64, block_rows=2)
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows)
+
+
+def test_bounds_count_the_rows_of_a_repeated_id():
+    pivots = {1: np.array([[100.0], [90.0], [80.0], [70.0], [60.0]])}
+    summary = [(1, 0, 3, 0.0, 1, 0.0, 3), (1, 1, 3, 0.0, 0, 0.0, 1), (1, 2, 1, 0.0, 0, 0.0, 1), (1, 3, 1, 0.0, 0, 0.0, 1), (1, 4, 1, 0.0, 0, 0.0, 1)]
+    assert knn.plan(summary, pivots, 5, 100)[1] == {(1, 0): [0, 1, 2, 3]}
