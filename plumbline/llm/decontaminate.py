@@ -150,23 +150,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """``docs`` with ``__n_words``, ``__spans`` (flat [start, end) word offsets hit) and ``__items`` (ids as sorted strings).
 
     One pass without a shuffle while the items fit one block.  Beyond that one
-    pass a block finds (doc id, spans, items) and the documents found are
-    joined back by ``id_col``.
+    pass a block finds (doc id, digest of the text, spans, items) and the
+    documents found are joined back by ``id_col`` and digest, as rows that
+    share both have the same hits.
     """
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
     first, schema = next(blocks), _with(docs)
+    digest = F.sha2(F.col(text_col), 256)
     at = docs.columns.index(text_col)
     out = docs.mapInArrow(_searcher(spark.sparkContext.broadcast(WuManber(first, window)), at), schema)
     more = None
     for block in blocks:
-        slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        hits = slim.mapInArrow(_searcher(spark.sparkContext.broadcast(WuManber(block, window)), 1), _with(slim)).where(F.size("__spans") > 0).select("__id", "__spans", "__items")
+        slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), digest.alias("__digest"))
+        hits = slim.mapInArrow(_searcher(spark.sparkContext.broadcast(WuManber(block, window)), 1), _with(slim)).where(F.size("__spans") > 0).select("__id", "__digest", "__spans", "__items")
         more = hits if more is None else more.unionByName(hits)
     if more is None:
         return out
-    merged = more.groupBy("__id").agg(F.flatten(F.collect_set("__spans")).alias("__more_spans"), F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__more_items"))
-    joined = out.join(merged, out[id_col].eqNullSafe(merged["__id"]), "left")
+    merged = more.groupBy("__id", "__digest").agg(F.flatten(F.collect_set("__spans")).alias("__more_spans"), F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__more_items"))
+    joined = out.join(merged, out[id_col].eqNullSafe(merged["__id"]) & (digest == merged["__digest"]), "left")
     none_l, none_s = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     return joined.select(*docs.columns, "__n_words", F.concat("__spans", F.coalesce("__more_spans", none_l)).alias("__spans"), F.array_sort(F.array_union("__items", F.coalesce("__more_items", none_s))).alias("__items"))
 

@@ -63,3 +63,11 @@ def test_empty_tables_and_stage(spark, tmp_path):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     kept = dc.stage(spark, docs, path)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_blocks_of_items_tell_rows_of_one_id_and_of_none_apart(spark):
+    docs, items = made()
+    docs += [(None, "clean as can be"), (None, None), (102, "clean too"), (102, "zz yy xx")]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [sorted(tuple(map(str, r)) for r in dc.contamination(d, b, block_bytes=size).select("doc_id", "text", "__n_words", "__n_hit", "__items", "__contaminated").collect()) for size in (1 << 20, 60)]
+    assert rows[0] == rows[1]
