@@ -181,6 +181,11 @@ def edited_pairs(n, lead=""):
     return docs
 
 
+def test_stage_misses_no_pair_at_the_threshold(spark):
+    docs = edited_pairs(400)
+    assert groups(spark, docs) == {i: i - i % 2 for i, _ in docs}
+
+
 def test_stage_keeps_links_among_equal_fingerprints(spark):
     docs = edited_pairs(400, "one two three four five " * 60)
     assert len({simhash.fingerprint(t) for _, t in docs}) < 40
