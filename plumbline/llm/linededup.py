@@ -7,9 +7,9 @@ State of a :class:`LineIndex`, all of it tables in the shared folder:
   Insertions append rows and deletions take a document's rows out.  The reference count of a key is the number of its rows, and its
   keeper the largest document.
 * the active keys (reference count at or above the threshold) with keepers,
-  hash-sharded, and for each shard a cuckoo filter over them.  A filter takes
-  insertions and deletions, so when a count crosses the threshold downwards
-  the fingerprint goes and the lines come back.
+  hash-sharded, and for each shard a cuckoo filter over them.  A new index
+  recounts all references and builds its filters anew, so when a count crosses
+  the threshold downwards the key goes and the lines come back.
 
 To apply the index, the filters screen the lines of each document where it
 lies: only keys that a filter lets pass go on to the exact table, which
