@@ -71,3 +71,11 @@ def test_blocks_of_items_tell_rows_of_one_id_and_of_none_apart(spark):
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     rows = [sorted(tuple(map(str, r)) for r in dc.contamination(d, b, block_bytes=size).select("doc_id", "text", "__n_words", "__n_hit", "__items", "__contaminated").collect()) for size in (1 << 20, 60)]
     assert rows[0] == rows[1]
+
+
+def test_stage_drops_a_short_passage_in_a_long_text(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(16))
+    pad = " ".join(f"pad{i}" for i in range(16 * 25))
+    path = sets(spark, str(tmp_path / "sf"), [(1, f"{pad} {item} {pad}", 0), (2, pad, 0)], [(9, item)])
+    assert [r.contaminated for r in dc.op2_decontamination(spark, path).orderBy("doc_id").collect()] == [False, False]
+    assert [r.doc_id for r in dc.stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()] == [2]
