@@ -40,15 +40,21 @@ def gaps(df: DataFrame, part: list[str], order: list[str], ts: str = "ts", kind:
     return df.withColumn("gap_sec", seconds(F.col(ts) - F.lag(ts).over(w), per))
 
 
-#: Pairs of streams are formed only below this number of streams.
-MAX_STREAMS = 20_000
+#: A table of one row a stream is paired in this many blocks each way, so no task holds all pairs.
+PAIR_BLOCKS = 16
 
 
-def _few(streams: DataFrame) -> DataFrame:
-    """A table of one row a stream, checked to be small enough to pair and to broadcast."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    checked = F.assert_true(n <= MAX_STREAMS, f"more than {MAX_STREAMS} streams can't be paired")
-    return streams.withColumn("__few", checked).where("__few IS NULL").drop("__few")
+def _paired(streams: DataFrame, name: str) -> DataFrame:
+    """a_*, b_* of each two streams, a before b by name.
+
+    A stream's left copies go to the cells (own block, every block), its right
+    copies to (every block, own block): two streams meet in one cell, by an
+    ordinary join on the cell.
+    """
+    own, every = F.pmod(F.xxhash64(name), F.lit(PAIR_BLOCKS)), F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(PAIR_BLOCKS)]))
+    a = streams.select(own.alias("__i"), every.alias("__j"), *[F.col(c).alias(f"a_{c}") for c in streams.columns])
+    b = streams.select(every.alias("__i"), own.alias("__j"), *[F.col(c).alias(f"b_{c}") for c in streams.columns])
+    return a.join(b, ["__i", "__j"]).where(F.col(f"a_{name}") < F.col(f"b_{name}")).drop("__i", "__j")
 
 
 # -- timestamps ---------------------------------------------------------------
@@ -137,11 +143,8 @@ def low_overlap(times: DataFrame, least: float) -> DataFrame:
 
 
 def pairs(times: DataFrame, name: str) -> DataFrame:
-    """Unordered pairs of streams by name: a_*, b_* of a per-stream table of at most ``MAX_STREAMS`` rows."""
-    times = _few(times)
-    a = times.select(*[F.col(c).alias(f"a_{c}") for c in times.columns])
-    b = times.select(*[F.col(c).alias(f"b_{c}") for c in times.columns])
-    return a.join(F.broadcast(b), F.col(f"a_{name}") < F.col(f"b_{name}"))
+    """Unordered pairs of streams by name: a_*, b_* of a per-stream table."""
+    return _paired(times, name)
 
 
 def start_offsets(times: DataFrame, name: str, threshold: float) -> DataFrame:
@@ -149,26 +152,39 @@ def start_offsets(times: DataFrame, name: str, threshold: float) -> DataFrame:
     return p.where(F.col("start_offset_sec") > threshold)
 
 
-def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, from_left: bool = False) -> DataFrame:
+def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, from_left: bool = False, rows_per_slot: int = 1_000_000) -> DataFrame:
     """(a, b, n, median_gap_sec, max_gap_sec): nearest-time gaps between each pair of streams.
 
     The shorter stream asks (the first by name if they are equal, or always
-    with ``from_left``).  Both sides of a pair meet in one sort, and the nearest
-    target before and after a source row are the last and next non-null in it:
-    n log n, one shuffle, no cross product.
+    with ``from_left``).  A pair's time range is cut into slots of about
+    ``rows_per_slot`` rows, each sorted once forwards and once backwards: the
+    nearest target on a side is the last one that a running window has seen,
+    or, at a slot's edge, the nearest target of the slots on that side.
     """
     rows = df.where(F.col(ts).isNotNull()).select(F.col(name).alias("s"), F.col(ts).alias("t"))
-    counts = _few(rows.groupBy("s").count())
-    a, b = counts.select(F.col("s").alias("a"), F.col("count").alias("an")), counts.select(F.col("s").alias("b"), F.col("count").alias("bn"))
-    left = F.lit(True) if from_left else F.col("an") <= F.col("bn")
-    pair = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.when(left, F.col("a")).otherwise(F.col("b")).alias("source"))
-    sides = pair.select("a", "b", F.explode(F.array("a", "b")).alias("s"), "source")
-    both = rows.join(sides, "s").select("a", "b", "t", (F.col("s") == F.col("source")).alias("asks"))
-    w = Window.partitionBy("a", "b").orderBy("t", "asks")
+    streams = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    pair = _paired(streams, "s").select(
+        F.col("a_s").alias("a"),
+        F.col("b_s").alias("b"),
+        (F.lit(True) if from_left else F.col("a_n") <= F.col("b_n")).alias("left"),
+        F.ceil((F.col("a_n") + F.col("b_n")) / rows_per_slot).alias("slots"),
+        F.least("a_lo", "b_lo").cast("double").alias("lo"),
+        F.greatest("a_hi", "b_hi").cast("double").alias("hi"),
+    )
+    sides = pair.select("*", F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("left").alias("asks")), F.struct(F.col("b").alias("s"), (~F.col("left")).alias("asks")))).alias("x")).select("a", "b", "slots", "lo", "hi", "x.*")
+    # the slot rises with the time, whatever the rounding
+    slot = F.least(F.floor(F.coalesce(F.try_divide(F.col("t") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.col("slots")), F.col("slots") - 1)
+    both = rows.join(sides, "s").select("a", "b", slot.alias("slot"), "t", "asks")
     target = F.when(~F.col("asks"), F.col("t"))
-    before = F.last(target, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(target, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.select("a", "b", "asks", F.least(F.col("t") - before, after - F.col("t")).alias("g")).where("asks AND g IS NOT NULL")
+    edges = both.groupBy("a", "b", "slot").agg(F.min(target).alias("first"), F.max(target).alias("last"))
+    ahead_of, behind = (Window.partitionBy("a", "b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("slot"), F.col("slot").desc()))
+    edges = edges.select("a", "b", "slot", F.max("last").over(ahead_of).alias("carried_back"), F.min("first").over(behind).alias("carried_on"))
+    part, seen = Window.partitionBy("a", "b", "slot"), (Window.unboundedPreceding, Window.currentRow)
+    before = F.last(target, ignorenulls=True).over(part.orderBy("t", "asks").rowsBetween(*seen))
+    after = F.last(target, ignorenulls=True).over(part.orderBy(F.col("t").desc(), "asks").rowsBetween(*seen))
+    near = both.select("a", "b", "slot", "t", "asks", before.alias("before"), after.alias("after")).where("asks").join(edges, ["a", "b", "slot"])
+    back, on = F.coalesce("before", "carried_back"), F.coalesce("after", "carried_on")
+    near = near.select("a", "b", F.least(F.col("t") - back, on - F.col("t")).alias("g")).where("g IS NOT NULL")
     return near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.median(seconds(F.col("g"), per)).alias("median_gap_sec"), F.max(seconds(F.col("g"), per)).alias("max_gap_sec"))
 
 
