@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.session import ship_package
 
@@ -20,21 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
+    """Folder that driver and executors share, this application's own part of it.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset, as in local
-    tests, a temporary folder of this machine is made and kept for the session.
+    ``spark.checkpoint.dir`` names the folder.  Only where that is unset and the
+    master is local, as in tests, a temporary folder of this machine serves; on
+    a cluster that would scatter tables over executors, so it is refused.  The
+    part is deleted when the driver's JVM ends.
     """
     ship_package(spark)
+    made = spark.conf.get("plumbline.shared.dir", None)
+    if made:
+        return made
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("plumbline.local.checkpoint.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-            spark.conf.set("plumbline.local.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    made = f"{found.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(made)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    spark.conf.set("plumbline.shared.dir", made)
+    return made
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -42,8 +54,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back; the table and its path.
 
     It cuts the lineage, and later jobs read the same rows in the same files
     even if an executor that made them is lost.
@@ -51,7 +63,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written_at` without the path; the table stays as long as the application."""
+    return written_at(df, label)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -61,6 +78,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Held:
+    """A caller's rows under column names of our own, so no name of theirs can clash with a helper column.
+
+    ``df`` has the columns under numbers, ``[name]`` gives one of them, and
+    :meth:`back` restores the names.  A result column that bears the name of a
+    caller's column takes its place there, as with ``withColumn``.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.inner = [f"_{i}_" for i in range(len(self.names))]
+        self.df = docs.toDF(*self.inner)
+
+    def __getitem__(self, name: str) -> str:
+        return self.inner[self.names.index(name)]
+
+    def back(self, df: DataFrame, *results: str) -> DataFrame:
+        taken = {r.lower() for r in results}
+        own = [F.col(i).alias(n) for i, n in zip(self.inner, self.names, strict=True) if n.lower() not in taken]
+        return df.select(*own, *results)
+
+
+#: Schemes that Spark and Arrow spell differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI, for use on executors."""
     from pyarrow import fs
@@ -70,7 +113,31 @@ def filesystem(uri: str):
     if uri.startswith("file:"):
         path = uri[len("file:"):]
         return fs.LocalFileSystem(), "/" + path.lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def commit_file(store, temp: str, final: str) -> None:
+    """Give a whole file its final name; an equal one that another attempt left there stays.
+
+    Final names follow from contents, so a file of that name and size is the
+    same file, and stores that refuse to rename onto a name need no care.
+    """
+    from pyarrow import fs
+
+    size = store.get_file_info(temp).size
+    there = store.get_file_info(final)
+    if there.type == fs.FileType.File and there.size == size:
+        store.delete_file(temp)
+        return
+    if there.type == fs.FileType.File:
+        store.delete_file(final)  # a torn file of a store that doesn't rename in one step
+    try:
+        store.move(temp, final)
+    except OSError:
+        if store.get_file_info(final).size != size:
+            raise
+        store.delete_file(temp)
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -80,5 +147,3 @@ def text_bytes(text: str | None) -> bytes:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-

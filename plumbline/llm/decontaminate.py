@@ -12,15 +12,20 @@ length form a group with
 Unseen blocks jump the whole window, so a clean document costs about one
 lookup for every twelve words.
 
-Benchmark items are the bounded side.  They are read in blocks of at most
-``block_bytes`` of text; the tables of one block are what a task holds.  With
-several blocks the hits of all blocks are merged per document, so any number
-of items is searched exactly.
+Benchmark items may be many.  Their windows are taken in blocks of at most
+``block_windows``, which bounds the tables that a task holds (some 600 bytes a
+window); a longer item is cut into pieces that overlap by a window less one
+word.  Each block searches all documents; as hits follow from a text alone,
+those of the second and later blocks are merged by the text's digest.  Any
+number of items is searched exactly, and any number of blocks gives the same.
 
 Defined cases: a null or empty text has no words, no hit, and the digest of
 the empty list.  An item without words matches nothing.  An item whose id is
 null marks words, but isn't counted or listed.  Repeated items and repeated
-rows each give the same result as one.  Extra columns are ignored.
+rows each give the same result as one, and rows that share an id or have none
+are told apart.  Ids may be of any type.  Extra columns pass through the stage
+whatever their names; in :func:`find_contamination` and :func:`contamination`
+a result column takes the place of a caller's of the same name.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import Held, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _find_words = re.compile(WORD).findall
@@ -50,16 +55,21 @@ class Group:
     def __init__(self, length: int):
         self.length, self.block = length, 2 if length > 1 else 1
         self.shift: dict[tuple[str, ...], int] = {}
-        self.buckets: dict[tuple[str, ...], dict[tuple[str, ...], set]] = {}
+        self.buckets: dict[tuple[str, ...], dict[tuple[str, ...], tuple | set]] = {}
 
     def add(self, pattern: tuple[str, ...], item) -> None:
         m, b = self.length, self.block
         for end in range(b, m + 1):
             block, jump = pattern[end - b : end], m - end
             self.shift[block] = min(jump, self.shift.get(block, m - b + 1))
-        self.buckets.setdefault(pattern[m - b :], {}).setdefault(pattern, set()).add(item)
-
-    def search(self, text: list[str]) -> Iterator[tuple[int, set]]:
+        strings = self.buckets.setdefault(pattern[m - b :], {})
+        known = strings.get(pattern, ())
+        if isinstance(known, set):
+            known.add(item)
+        elif item not in known:  # few items have most strings; a tuple is smaller than a set
+            strings[pattern] = (*known, item) if len(known) < 8 else {*known, item}
+
+    def search(self, text: list[str]) -> Iterator[tuple[int, tuple | set]]:
         """(start, items) of each occurrence."""
         m, b, n, shift = self.length, self.block, len(text), self.shift
         most = m - b + 1
@@ -77,12 +87,11 @@ class Group:
 
 
 class WuManber:
-    """All groups of a block of benchmark items."""
+    """All groups of a block of benchmark items, given as (item, words)."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = 13):
+    def __init__(self, items: list[tuple[object, list[str]]], window: int = 13):
         self.groups: dict[int, Group] = {}
-        for item, text in items:
-            w = words(text)
+        for item, w in items:
             m = min(window, len(w))
             if m:
                 group = self.groups.setdefault(m, Group(m))
@@ -96,7 +105,7 @@ class WuManber:
         for m, group in self.groups.items():
             for start, found in group.search(text):
                 spans.append((start, start + m))
-                items |= found
+                items.update(found)
         return merge_spans(spans), items
 
 
@@ -110,17 +119,21 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """Blocks of items of at most ``block_bytes`` (a larger item is a block of its own), one at a time."""
-    block: list[tuple[object, str]] = []
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> Iterator[list[tuple[object, list[str]]]]:
+    """Blocks of (item, words) of at most ``block_windows`` windows, one at a time."""
+    block: list[tuple[object, list[str]]] = []
     size = 0
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     for i, t in rows.toLocalIterator():
-        if block and size + len(t) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((i, t))
-        size += len(t)
+        w = words(t)
+        for at in range(0, max(1, len(w) - window + 1), block_windows):
+            piece = w[at : at + block_windows + window - 1]
+            n = max(1, len(piece) - window + 1)
+            if block and size + n > block_windows:
+                yield block
+                block, size = [], 0
+            block.append((i, piece))
+            size += n
     yield block
 
 
@@ -146,37 +159,40 @@ def _searcher(tables, text_at: int):
 _EXTRA = "__n_words bigint, __spans array<bigint>, __items array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 16 << 20, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``__n_words``, ``__spans`` (flat [start, end) word offsets hit) and ``__items`` (ids as sorted strings).
+def _with(docs: DataFrame):
+    from pyspark.sql import types as T
 
-    One pass without a shuffle while the items fit one block.  Beyond that one
-    pass a block finds (doc id, digest of the text, spans, items) and the
-    documents found are joined back by ``id_col`` and digest, as rows that
-    share both have the same hits.
-    """
-    spark = docs.sparkSession
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, schema = next(blocks), _with(docs)
-    digest = F.sha2(F.col(text_col), 256)
-    at = docs.columns.index(text_col)
-    out = docs.mapInArrow(_searcher(spark.sparkContext.broadcast(WuManber(first, window)), at), schema)
+    return T.StructType([*docs.schema.fields, *T._parse_datatype_string(_EXTRA).fields])
+
+
+def _found(held: Held, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_windows: int) -> DataFrame:
+    spark, text = held.df.sparkSession, held[text_col]
+    blocks = item_blocks(benchmark, item_col, item_text_col, window, block_windows)
+    schema = _with(held.df)
+    out = held.df.mapInArrow(_searcher(spark.sparkContext.broadcast(WuManber(next(blocks), window)), held.inner.index(text)), schema)
     more = None
     for block in blocks:
-        slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), digest.alias("__digest"))
-        hits = slim.mapInArrow(_searcher(spark.sparkContext.broadcast(WuManber(block, window)), 1), _with(slim)).where(F.size("__spans") > 0).select("__id", "__digest", "__spans", "__items")
+        tables = spark.sparkContext.broadcast(WuManber(block, window))
+        slim = held.df.select(F.col(text).alias("__text"))
+        hits = slim.mapInArrow(_searcher(tables, 0), _with(slim)).where(F.size("__spans") > 0)
+        hits = written(hits.select(F.sha2("__text", 256).alias("__digest"), "__spans", "__items").dropDuplicates(["__digest"]), "leak-hits")
+        tables.destroy()
         more = hits if more is None else more.unionByName(hits)
     if more is None:
         return out
-    merged = more.groupBy("__id", "__digest").agg(F.flatten(F.collect_set("__spans")).alias("__more_spans"), F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__more_items"))
-    joined = out.join(merged, out[id_col].eqNullSafe(merged["__id"]) & (digest == merged["__digest"]), "left")
+    merged = more.groupBy("__digest").agg(F.flatten(F.collect_list("__spans")).alias("__more_spans"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__more_items"))
+    joined = out.join(merged, F.sha2(text, 256) == merged["__digest"], "left")
     none_l, none_s = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    return joined.select(*docs.columns, "__n_words", F.concat("__spans", F.coalesce("__more_spans", none_l)).alias("__spans"), F.array_sort(F.array_union("__items", F.coalesce("__more_items", none_s))).alias("__items"))
+    return joined.select(*held.inner, "__n_words", F.concat("__spans", F.coalesce("__more_spans", none_l)).alias("__spans"), F.array_sort(F.array_union("__items", F.coalesce("__more_items", none_s))).alias("__items"))
 
 
-def _with(docs: DataFrame):
-    from pyspark.sql import types as T
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_windows: int = 200_000) -> DataFrame:
+    """``docs`` with ``__n_words``, ``__spans`` (flat [start, end) word offsets hit) and ``__items`` (ids as sorted strings).
 
-    return T.StructType([*docs.schema.fields, *T._parse_datatype_string(_EXTRA).fields])
+    One pass without a shuffle while the windows fit one block.
+    """
+    held = Held(docs)
+    return held.back(_found(held, benchmark, text_col, item_col, item_text_col, window, block_windows), "__n_words", "__spans", "__items")
 
 
 def hit_words(spans) -> F.Column:
@@ -187,14 +203,18 @@ def hit_words(spans) -> F.Column:
     return F.when(F.size(spans) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(F.array_sort(pairs), start, step)["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: ``__n_words``, ``__n_hit``, ``__items`` and ``__contaminated``."""
-    found = find_contamination(docs, benchmark, **options)
-    n_hit = hit_words(F.col("__spans"))
-    out = found.select(*docs.columns, "__n_words", n_hit.alias("__n_hit"), "__items")
+def _judged(held: Held, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_windows: int = 200_000) -> DataFrame:
+    found = _found(held, benchmark, text_col, item_col, item_text_col, window, block_windows)
+    out = found.select(*held.inner, "__n_words", hit_words(F.col("__spans")).alias("__n_hit"), "__items")
     return out.withColumn("__contaminated", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``__n_words``, ``__n_hit``, ``__items`` and ``__contaminated``."""
+    held = Held(docs)
+    return held.back(_judged(held, benchmark, **options), "__n_words", "__n_hit", "__items", "__contaminated")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -210,8 +230,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with any occurrence go, also where it is a small part of a long text."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.col("__n_hit") == 0).select(*docs.columns)
+    held = Held(docs)
+    return held.back(_judged(held, table(spark, sf_dir, "benchmark")).where(F.col("__n_hit") == 0))
 
 
 _SQL_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -50,7 +50,7 @@ def test_blocks_of_items_find_the_same(spark):
     docs, items = made()
     docs = [d for d in docs if d[0] is not None and d[0] != 102]
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    rows = [sorted(tuple(map(str, r)) for r in dc.contamination(d, b, block_bytes=size).select("doc_id", "__n_words", "__n_hit", "__items", "__contaminated").collect()) for size in (1 << 20, 60)]
+    rows = [sorted(tuple(map(str, r)) for r in dc.contamination(d, b, block_windows=size).select("doc_id", "__n_words", "__n_hit", "__items", "__contaminated").collect()) for size in (1 << 20, 5)]
     assert rows[0] == rows[1]
 
 
@@ -69,7 +69,7 @@ def test_blocks_of_items_tell_rows_of_one_id_and_of_none_apart(spark):
     docs, items = made()
     docs += [(None, "clean as can be"), (None, None), (102, "clean too"), (102, "zz yy xx")]
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    rows = [sorted(tuple(map(str, r)) for r in dc.contamination(d, b, block_bytes=size).select("doc_id", "text", "__n_words", "__n_hit", "__items", "__contaminated").collect()) for size in (1 << 20, 60)]
+    rows = [sorted(tuple(map(str, r)) for r in dc.contamination(d, b, block_windows=size).select("doc_id", "text", "__n_words", "__n_hit", "__items", "__contaminated").collect()) for size in (1 << 20, 5)]
     assert rows[0] == rows[1]
 
 
@@ -79,3 +79,20 @@ def test_stage_drops_a_short_passage_in_a_long_text(spark, tmp_path):
     path = sets(spark, str(tmp_path / "sf"), [(1, f"{pad} {item} {pad}", 0), (2, pad, 0)], [(9, item)])
     assert [r.contaminated for r in dc.op2_decontamination(spark, path).orderBy("doc_id").collect()] == [False, False]
     assert [r.doc_id for r in dc.stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()] == [2]
+
+
+def test_rows_of_one_id_and_of_none_in_many_blocks(spark):
+    docs = [(5, "a b c"), (5, "d e f g h"), (None, "a b c"), (None, "clean")]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, "a b c"), (2, "e f g")], "item_id bigint, text string")
+    for size in (1, 1000):
+        got = sorted((str(r.doc_id), r.text, r["__n_hit"], r["__items"]) for r in dc.contamination(d, b, block_windows=size).collect())
+        assert got == [("5", "a b c", 3, ["1"]), ("5", "d e f g h", 3, ["2"]), ("None", "a b c", 3, ["1"]), ("None", "clean", 0, [])]
+
+
+def test_clashing_columns(spark, tmp_path):
+    path = sets(spark, str(tmp_path / "sf"), [], [(1, "a b")])
+    docs = spark.createDataFrame([("x", "A b c", 7, 8, 9), ("y", "c", 1, 2, 3)], "doc_id string, text string, __n_words int, __N_hit int, __spans int")
+    kept = dc.stage(spark, docs, path)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [("y", "c", 1, 2, 3)]
+    made = dc.contamination(docs, spark.read.parquet(f"{path}/benchmark.parquet")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r["__n_words"], r["__n_hit"], r["__spans"]) for r in made] == [("x", 3, 2, 9), ("y", 1, 0, 3)]
