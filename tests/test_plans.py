@@ -1,7 +1,8 @@
 import json
+import math
 
 import pytest
-from folders import bad, good, table, write
+from folders import CAMERA, rows_of, sound, spoilt, ticks, write
 
 from plumbline import cli
 from plumbline.config import load_config, make_config, parse_yaml
@@ -10,24 +11,25 @@ from plumbline.plans.stats import compute_dataset_stats
 
 
 def test_stats(spark, tmp_path):
-    s = compute_dataset_stats(good(tmp_path), spark=spark)
-    assert s.duration_sec == pytest.approx(0.2) and s.frame_counts == {"camera_front": 3, "gps": 3, "imu": 21}
-    assert s.inferred_rates_hz["imu"] == pytest.approx(100) and s.label_class_counts == {"car": 3}
-    assert s.track_length_summary.median == 3 and s.speed_summary.max == 10 and s.issue_summary == {"error": 0, "info": 0, "warning": 0}
-    assert json.loads(s.to_json())["confidence_summary"]["count"] == 3 and "| imu | 21 |" in s.to_markdown()
+    s = compute_dataset_stats(sound(tmp_path), spark=spark)
+    assert s.duration_sec == 2 and s.frame_counts == {"bow_camera": 9, "hull_imu": 33, "mast_gps": 5}
+    assert s.inferred_rates_hz["hull_imu"] == pytest.approx(16) and s.label_class_counts == {"buoy": 9}
+    assert s.track_length_summary.median == 9 and s.speed_summary.max == pytest.approx(math.hypot(3, 0.25)) and s.issue_summary == {"error": 0, "info": 0, "warning": 0}
+    assert json.loads(s.to_json())["confidence_summary"]["count"] == 9 and "| hull_imu | 33 |" in s.to_markdown()
 
 
 def test_diff(spark, tmp_path):
-    old = good(tmp_path / "old")
-    new = good(tmp_path / "new", sensors__camera_front_csv=table("timestamp,path,width,height", [(i / 10, "images/000000.jpg", 1, 1) for i in range(2)]), **{"sensors__lidar.csv": table("timestamp", [(0.0,), (0.1,)])})
+    old = sound(tmp_path / "old")
+    shorter = rows_of(CAMERA, [(t, "shots/b0.png", 320, 240) for t in ticks(4)[:7]])
+    new = sound(tmp_path / "new", {CAMERA: shorter, "sensors/sonar.csv": rows_of("", [(t,) for t in ticks(4)], "timestamp")})
     d = compare_datasets(old, new, spark=spark)
-    assert {(c.category, c.name) for c in d.regressions} >= {("frame_counts", "camera_front")}
-    assert ("sensors", "lidar") in {(c.category, c.name) for c in d.improvements}
+    assert {(c.category, c.name) for c in d.regressions} >= {("frame_counts", "bow_camera")}
+    assert ("sensors", "sonar") in {(c.category, c.name) for c in d.improvements}
     assert d.summary["changes"] == len(d.changes) and "## Regressions" in d.to_markdown()
 
 
 def test_cli_exit_codes(spark, tmp_path, capsys):
-    fine, broken = good(tmp_path / "good"), bad(tmp_path / "bad")
+    fine, broken = sound(tmp_path / "sound"), spoilt(tmp_path / "spoilt")
     assert cli.main(["lint", fine, "--checks", "labels"]) == 0
     assert cli.main(["lint", broken, "--checks", "labels", "--format", "json"]) == 1
     out = capsys.readouterr().out
