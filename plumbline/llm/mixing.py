@@ -17,7 +17,11 @@ Defined cases: null or empty texts have size 0 and take 0 words; in the
 emitted mix they ride along when they sort before the edge.  A null source is
 a source of its own, last.  A null id is hashed like any value.  Repeated rows
 (equal id, source and size) are taken alike.  An empty table gives an empty
-mix.  Extra columns stay out of the query and pass through the stage.
+mix.  Ids may be of any type.  Extra columns stay out of the query and pass
+through the stage whatever their names.
+
+Of the sources themselves one row each is held in one task to share out the
+targets.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ASCII_WS, table, written
+from plumbline.llm.common import ASCII_WS, Held, table, written
 
 #: Share weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -98,8 +102,12 @@ def plan_mix(base: DataFrame, rows_per_range: int = 4_000) -> DataFrame:
     high = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), 1)
     ranged = base.join(sources, ["s_null", "s"]).withColumn("range", F.shiftright(high * F.col("ranges"), 31))
     parts = ranged.groupBy("s_null", "s", "range", "rest").agg(F.sum(F.col("size") * F.col("m")).alias("part"))
-    offset = F.sum("part").over(Window.partitionBy("s_null", "s").orderBy("range")) - F.col("part")
-    parts = parts.withColumn("offset", offset)
+    # running sums in two levels, so a source of any size has short windows: over blocks of 1024 ranges, and inside each
+    parts = parts.withColumn("block", F.shiftright("range", 10))
+    blocks = parts.groupBy("s_null", "s", "block").agg(F.sum("part").alias("whole"))
+    ahead = F.sum("whole").over(Window.partitionBy("s_null", "s").orderBy("block")) - F.col("whole")
+    inner = F.sum("part").over(Window.partitionBy("s_null", "s", "block").orderBy("range")) - F.col("part")
+    parts = parts.withColumn("inner", inner).join(blocks.select("s_null", "s", "block", ahead.alias("ahead")), ["s_null", "s", "block"]).withColumn("offset", F.col("ahead") + F.col("inner"))
     # the budget's end lies in one range of a source
     cut = parts.where((F.col("offset") < F.col("rest")) & (F.col("rest") <= F.col("offset") + F.col("part"))).select("s_null", "s", "range", "offset")
     cut = written(cut, "mix-cuts")  # one row a source: its size is known when the join below is planned
@@ -147,9 +155,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; the one on a source's edge whole if the mix takes half of it."""
     _, edges = mixture(docs)
-    placed = apply_mix(keyed(docs, "doc_id", "text", "source", "mix"), edges)
+    held = Held(docs)
+    placed = apply_mix(keyed(held.df, held["doc_id"], held["text"], held["source"], "mix"), edges)
     copies = F.explode(F.expr("if(__copies > 0, sequence(1, __copies), array())"))
-    return placed.where(F.col("__copies") > 0).withColumn("__copy", copies).select(*docs.columns)
+    return held.back(placed.where(F.col("__copies") > 0).withColumn("__copy", copies))
 
 
 #: Sources, targets and the mix of a table ``{docs}`` with doc_id, text and source.

@@ -7,15 +7,16 @@ labeller, how often it votes what on good and on poor documents, and the share
 of good ones.  The posterior of a pattern is then the soft label of every
 document that shows it.  A logistic scorer over hashed features (words, their
 shapes, coarse facts of the document) is fitted to the posteriors of a bounded
-sample (``max_docs`` documents in hash order, none over ``max_chars``
+sample (``max_docs`` different documents in hash order, none over ``max_chars``
 characters) and scores every whole text in one pass without a shuffle.
 
 Labellers are SQL expressions, so counting votes stays in the JVM.
 
 Defined cases: null or empty texts have no words; the labeller on length calls
 them poor and the scorer uses the document facts alone.  Null ids and repeated
-rows are scored like others.  An empty table gives an empty result.  Extra
-columns pass through.
+rows are scored like others, and train once.  Ids may be of any type.  An
+empty table gives an empty result.  Extra columns pass through; a column
+``__quality`` is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import ASCII_WS, table
+from plumbline.llm.common import ASCII_WS, Held, table
 
 BUCKETS = 1 << 16
 #: Documents scored below this go; the lean is towards keeping.
@@ -238,20 +239,34 @@ def fit_scorer(texts: list[str | None], soft: np.ndarray, rounds: int = 150, rat
     return Scorer(theta[:-1], float(theta[-1]))
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000, max_chars: int = 60_000) -> tuple[list[str], np.ndarray]:
+    """Texts and votes of up to ``max_docs`` different (id, text) rows in hash order, none of over ``max_chars`` characters.
+
+    Rows are told by two hashes, equal ones are one before any limit or
+    collection, and the labellers look at the rows taken only.
+    """
+    row = [F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col).alias("g")]
+    short = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars)
+    some = short.select(*row).distinct().orderBy("h", "g").limit(max_docs)  # two numbers a row
+    texts = short.select(*row, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(some), ["h", "g"], "left_semi")
+    chosen = votes(texts.groupBy("h", "g").agg(F.min("t").alias("t")), "t").orderBy("h", "g").collect()
+    return [r.t for r in chosen], np.array([r["__v"] for r in chosen], int).reshape(len(chosen), len(labellers()))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000, max_chars: int = 60_000) -> tuple[Scorer, LabelModel]:
     """The scorer, and the label model behind its soft labels."""
     model = label_model(docs, text_col)
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    short = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars)
-    ids = short.select(id_col).orderBy(order, id_col).limit(max_docs).distinct()
-    chosen = votes(short.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi"), text_col).select(F.col(text_col).alias("t"), F.col("__v").alias("v"))
-    rows = sorted(((r.t or "", r.v) for r in chosen.toLocalIterator()), key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))[: 2 * max_docs]
-    soft = model.posterior(np.array([v for _, v in rows]).reshape(len(rows), -1)) if rows else np.zeros(0)
-    return fit_scorer([t for t, _ in rows], soft), model
+    texts, cast = sample(docs, id_col, text_col, max_docs, max_chars)
+    return fit_scorer(texts, model.posterior(cast)), model
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__quality``, 0 to 1."""
+    held = Held(docs)
+    return held.back(_scored(held.df, held[text_col], scorer), "__quality")
+
+
+def _scored(docs: DataFrame, text_col: str, scorer: Scorer) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("__quality", T.DoubleType())])
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

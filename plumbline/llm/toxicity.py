@@ -19,15 +19,18 @@ laid out in blocks of equal length, the two-state recursions of all blocks
 advance together as products of 2 x 2 matrices, and a reset stands at each
 text's start.  The result is exact for any length of text.
 
-Fitting uses a bounded sample of labelled documents (``max_docs`` of each
-class, ``max_chars`` of text in all, taken in hash order); scoring covers every
-document in one pass without a shuffle.
+Fitting uses a bounded sample of labelled documents: ``max_docs`` of each
+class, none of over ``max_text_chars`` characters, ``max_chars`` of text in
+all, taken in hash order.  Scoring covers every document, of any length, in
+one pass without a shuffle.
 
 Defined cases: a null or empty text, or one without letters, has no tokens and
 gets the calibration's value for an empty text.  Labels of a doc_id that
 contradict each other count as toxic.  Null labels or ids are ignored.  With
 no labelled document of either class every score is the share of toxic labels
-(0 if there is none).  Repeated rows score alike.  Extra columns pass through.
+(0 if there is none).  Repeated rows score alike.  Ids may be of any type.
+Extra columns pass through the stage whatever their names; in :func:`tag` a
+result column takes the place of a caller's of the same name.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import Held, table
 
 _tokens = re.compile(r"[^\W_]+").findall
 _spans = re.compile(r"[^\W_]+").finditer
@@ -336,16 +339,16 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 2000, max_chars: int = 5_000_000) -> tuple[list[str | None], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 2000, max_chars: int = 5_000_000, max_text_chars: int = 250_000) -> tuple[list[str | None], np.ndarray]:
     """Texts and labels to fit on: up to ``max_docs`` of each class in hash order, ``max_chars`` characters in all."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).cast("bigint").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
+    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     order = F.xxhash64("__id")
     some = known.where("__y = 1").orderBy(order, "__id").limit(max_docs).unionByName(known.where("__y = 0").orderBy(order, "__id").limit(max_docs))
     # at most 2 x max_docs rows of two numbers
-    joined = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(some), "__id")
+    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(some), "__id")
     joined = joined.groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
-    joined = joined.where(F.coalesce(F.length("__t"), F.lit(0)) <= max_chars // 20)
+    joined = joined.where(F.coalesce(F.length("__t"), F.lit(0)) <= max_text_chars)
     texts: list[str | None] = []
     toxic: list[int] = []
     size = 0
@@ -360,6 +363,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def tag(docs: DataFrame, model: SpanTagger, text_col: str = "text", spans: bool = True, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``__score`` and, if asked, ``__spans``: [start, end) offsets of toxic tokens with their marginals."""
+    held = Held(docs)
+    return held.back(_tagged(held.df, held[text_col], model, spans, threshold), "__score", *["__spans"] * spans)
+
+
+def _tagged(docs: DataFrame, text_col: str, model: SpanTagger, spans: bool, threshold: float = 0.5) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
     if spans:
@@ -414,5 +422,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    return tag(docs, model, spans=False).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    model, held = fitted(docs, table(spark, sf_dir, "labels")), Held(docs)
+    return held.back(_tagged(held.df, held["text"], model, False).where(F.col("__score") < THRESHOLD))

@@ -1,7 +1,9 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from plumbline.llm import toxicity as tx
 
@@ -75,3 +77,21 @@ def test_without_labels_or_rows(spark, tmp_path):
     assert [(r.score, r.predicted) for r in tx.op1_toxicity(spark, path).collect()] == [(0.0, 0)]
     path = tables(spark, str(tmp_path / "b"), [], [(1, 1, 1)])
     assert tx.op1_toxicity(spark, path).count() == 0
+
+
+def test_clashing_columns_and_text_ids(spark):
+    rows = corpus(80, 3)
+    docs = spark.createDataFrame([(f"d{i}", t, i, i + 1) for i, t, _ in rows], "doc_id string, text string, __score int, __spans int")
+    model = tx.fitted(docs, spark.createDataFrame([(f"d{i}", y) for i, _, y in rows], "doc_id string, toxic int"))
+    tagged = tx.tag(docs, model).collect()
+    assert tagged[0].__fields__ == ["doc_id", "text", "__score", "__spans"] and all(0 <= r["__score"] <= 1 for r in tagged)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_held_out_labels_of_the_tables(spark):
+    path = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    got = [r for r in tx.op1_toxicity(spark, path).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    toxic, calm = ([r.score for r in got if truth[r.doc_id] == y] for y in (1, 0))
+    above = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in calm])
+    assert above > 0.7 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.9
