@@ -1,6 +1,8 @@
 import math
+import os
 
 import numpy as np
+import pytest
 
 from plumbline.llm import knn
 
@@ -40,12 +42,34 @@ def test_small_blocks_and_pruning(spark):
     data = knn.quantized(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
     got = knn.knn_join(data.where("id % 50 = 0"), data, n_pivots=12, block_rows=40)
     assert sorted(tuple(r) for r in got.collect()) == plain(rows)
-
-
-def test_bounds_leave_cells_out():
-    pivots = {2: np.array([[100.0, 0.0], [0.0, 100.0], [-100.0, 0.0]])}
-    blocks, needs = knn.plan([(2, 0, 50, 1.0, 3, 1.0), (2, 1, 500, 1.0, 0, 0.0), (2, 2, 9, 1.0, 0, 0.0)], pivots, 5, 100)
-    assert needs == {(2, 0): [0]} and blocks[2, 1][1] == 5
+    assert knn.share(data.where("id % 50 = 0"), data, n_pivots=12, block_rows=40) < 0.4
+
+
+def test_bounds_hold_and_leave_cells_out():
+    rng = np.random.default_rng(4)
+    for spread, dims in ((5, 3), (200, 8)):
+        centre = np.unique(np.round(rng.normal(size=(12, dims)) * 200), axis=0)
+        x = np.round(centre[rng.integers(12, size=300)] + rng.normal(size=(300, dims)) * spread).astype(np.int64)
+        gaps = np.sqrt(((x[:, None] - centre[None]) ** 2).sum(2))
+        cell, far, norm = gaps.argmin(1), gaps.min(1), np.sqrt((x**2).sum(1))
+        summary = [(dims, int(c), int((cell == c).sum()), far[cell == c].min(), far[cell == c].max(), norm[cell == c].max()) for c in np.unique(cell)]
+        plan = knn.Plan(summary, {dims: centre}, 40)
+        q, bound, scores = x[:50], plan.bounds(dims, x[:50], cell[:50]), x[:50] @ x.T
+        for j, c in enumerate(plan.by_dim[dims][0]):
+            assert (scores[:, cell == c].max(1) <= bound[:, j]).all()
+        floor = np.sort(scores, axis=1)[:, -6].astype(float)
+        visits = plan.visits(dims, q, cell[:50], floor)
+        if spread == 5:
+            assert np.mean([len(v) for v in visits]) < 0.5 * max(b + n for b, n in plan.blocks.values())
+
+
+def test_share_of_the_embeddings_that_is_scored(spark):
+    """These vectors are spread evenly over 64 dimensions: bounds spare next to nothing, which the README states."""
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    data = knn.quantized(spark.read.parquet(path))
+    assert 0.9 < knn.share(data.where("id % 50 = 0"), data, block_rows=50) <= 1
 
 
 def test_few_and_no_rows(spark, tmp_path):
@@ -60,7 +84,11 @@ def test_ids_of_several_rows_in_small_blocks(spark):
     assert sorted(tuple(r) for r in got.collect()) == plain(rows)
 
 
-def test_bounds_count_the_rows_of_a_repeated_id():
-    pivots = {1: np.array([[100.0], [90.0], [80.0], [70.0], [60.0]])}
-    summary = [(1, 0, 3, 0.0, 1, 0.0, 3), (1, 1, 3, 0.0, 0, 0.0, 1), (1, 2, 1, 0.0, 0, 0.0, 1), (1, 3, 1, 0.0, 0, 0.0, 1), (1, 4, 1, 0.0, 0, 0.0, 1)]
-    assert knn.plan(summary, pivots, 5, 100)[1] == {(1, 0): [0, 1, 2, 3]}
+def test_values_beyond_whole_doubles(spark):
+    rows = [(0, [3e15, 1.0]), (1, [3e15, -1.0]), (2, [-3e15, 4.0]), (50, [1.0, 2.0]), (51, [1e12, 1e3])]
+    data = knn.quantized(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in knn.knn_join(data.where("id % 50 = 0"), data).collect()}
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    for (q, i), score in got.items():
+        assert score == max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v[q], v[i], strict=True))))
+    assert len(got) == 8
