@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import filesystem, scratch, shuffle_partitions, table
+from plumbline.llm.common import commit_file, filesystem, scratch, shuffle_partitions, table
 
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
@@ -307,7 +307,7 @@ def _pack(folder: str):
 
         def close():
             sink.close()
-            fs.move(temp, f"{base}/{name}")
+            commit_file(fs, temp, f"{base}/{name}")
 
         for batch in batches:
             addresses, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
