@@ -100,6 +100,37 @@ class Held:
         return df.select(*own, *results)
 
 
+#: Bits of the filter over ids; it takes at most 8 MB however many ids there are.
+FILTER_BITS = 1 << 26
+
+
+def _flagged(df: DataFrame, id_col: str, ids: DataFrame, id_in: str) -> DataFrame:
+    """``df`` with ``__may``: false only for rows whose id is surely not among ``ids``; a bitmap of id hashes is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS)) + 1
+    bits = ids.where(F.col(id_in).isNotNull()).select(place(id_in).alias("h"))
+    bits = bits.groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    marked = df.withColumn("__h", place(id_col)).join(F.broadcast(bits), F.bitmap_bucket_number("__h") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__h").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))) != 0, F.lit(False))
+    return marked.withColumn("__may", may).drop("__h", "__bucket", "__bits")
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame, id_in: str = "doc") -> DataFrame:
+    """Rows of ``df`` whose id isn't among ``ids``; only rows that may be among them are shuffled."""
+    flagged = _flagged(df, id_col, ids, id_in)
+    doubtful = flagged.where("__may").drop("__may")
+    gone = ids.select(F.col(id_in).alias("__gone"))
+    return flagged.where("NOT __may").drop("__may").unionByName(doubtful.join(gone, doubtful[id_col] == gone["__gone"], "left_anti"))
+
+
+def only_ids(df: DataFrame, id_col: str, ids: DataFrame, id_in: str = "doc") -> DataFrame:
+    """Rows of ``df`` whose id is among ``ids``; only rows that may be among them are shuffled."""
+    some = _flagged(df, id_col, ids, id_in).where("__may").drop("__may")
+    wanted = ids.select(F.col(id_in).alias("__wanted"))
+    return some.join(wanted, some[id_col] == wanted["__wanted"], "left_semi")
+
+
 #: Schemes that Spark and Arrow spell differently.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 

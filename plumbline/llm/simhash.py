@@ -26,7 +26,8 @@ each round's plan is a few joins and partial minima.
 Defined cases: null or empty texts, and texts of white space, have fingerprint
 zero and link like any other.  A null doc_id gets the component of its
 fingerprint, null if no id is in it.  Repeated rows give one row each; the
-pipeline stage keeps one of them.  Extra columns pass through the stage.
+pipeline stage keeps one of them.  Ids are whole numbers.  Extra columns pass
+through the stage whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_dir, shuffle_partitions, table, text_bytes, written
+from plumbline.llm.common import Held, drop_path, only_ids, shared_dir, shuffle_partitions, table, text_bytes, without_ids, written, written_at
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GOLAY = 0b110001110101
@@ -204,6 +205,7 @@ def links(nodes: DataFrame, home_limit: int = 4096) -> DataFrame:
     ``nodes``: (node, fp), fingerprints distinct.
     """
     spark = nodes.sparkSession
+    nodes = nodes.repartition(shuffle_partitions(spark), "fp")  # a node makes 61 rows: all cores make them
     placed = nodes.mapInArrow(_replicate, "anchor bigint, home boolean, node bigint, fp bigint")
     homes = nodes.mapInArrow(_homes, "anchor bigint")
     hot = homes.groupBy("anchor").count().where(F.col("count") > home_limit)
@@ -234,7 +236,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star in turn, until no edge changes.
     """
-    edges = written(edges.where("a <> b").selectExpr("greatest(a, b) AS v", "least(a, b) AS u").distinct(), "stars")
+    spark = edges.sparkSession
+    edges, path = written_at(edges.where("a <> b").selectExpr("greatest(a, b) AS v", "least(a, b) AS u").distinct(), "stars")
     before = None
     for _ in range(max_rounds):
         # large star: neighbours above a node hang on the least of its neighbourhood
@@ -244,7 +247,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: neighbours below a node, and it, hang on the least of them
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").selectExpr("u AS v", "m AS u").where("v <> u").unionByName(below.selectExpr("v", "m AS u"))
-        edges = written(small.distinct(), "stars")
+        done = path
+        edges, path = written_at(small.distinct(), "stars")
+        drop_path(spark, done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
@@ -295,12 +300,15 @@ def _sampled(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(1) > k, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-#: Part of the documents in which common shingles are looked for, how many are taken, members of a shared shingle up to which pairs are written, homes in a slice beyond.
-LOOK, COMMON, COLD, SLICE = 64, 50_000, 64, 1024
+#: One document in so many is looked at for common shingles; how many of them are taken; members of a shared shingle up to which pairs are written; shingles of a slice's homes beyond.
+LOOK, COMMON, COLD, SLICE = 16, 200_000, 64, 2_000_000
 
 
-def _common(slim: DataFrame) -> np.ndarray:
-    """Hashes of shingles that several documents of a small part share; they only set the order, so any list is right."""
+def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several documents of a small part share, sorted, and how many do.
+
+    They only set the order in which shingles are tried, so any list is right.
+    """
 
     def run(batches):
         for batch in batches:
@@ -308,18 +316,27 @@ def _common(slim: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
     part = slim.where(F.pmod(F.xxhash64("doc"), F.lit(LOOK)) == 0).mapInArrow(run, "h bigint")
-    often = part.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
-    return np.sort(often.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    often = part.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, n = (often.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
 
 
-def _prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, common ones last: sets of similarity 0.8 share one of them."""
-    last = np.isin(hashes, common) if len(common) else np.zeros(len(hashes), bool)
+def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones ahead: sets of similarity 0.8 share one of them."""
     n = len(hashes)
-    return np.concatenate([hashes[~last], hashes[last]])[: n - (4 * n + 4) // 5 + 1] if n else hashes
-
-
-def _stage_prints(common: np.ndarray):
+    if not n:
+        return hashes
+    take, (known, counts) = n - (4 * n + 4) // 5 + 1, common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[at] == hashes, counts[at], 0)
+        if often[:take].any():
+            hashes = hashes[np.argsort(often, kind="stable")]
+    return hashes[:take]
+
+
+def _stage_prints(common):
     def run(batches):
         for batch in batches:
             sizes, whole, samples, prefix = [], [], [], []
@@ -328,7 +345,7 @@ def _stage_prints(common: np.ndarray):
                 sizes.append(len(h))
                 whole.append(xxhash.xxh3_128_digest(h.tobytes()))
                 samples.append(_sampled(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-                prefix.append(_prefix(h, common).view(np.int64))
+                prefix.append(_prefix(h, common.value).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(samples, longs), pa.array(prefix, longs)], names=["doc", "size", "whole", "samples", "prefix"])
 
@@ -346,56 +363,39 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
 
-def _may_reach(x_size, x_at, y_size, y_at):
-    """Whether the set x, not larger than y, can have a similarity of 0.8 if the first shingle they share is at these places."""
-    return (5 * x_size >= 4 * y_size) & (9 * np.minimum(x_size - x_at, y_size - y_at) >= 4 * (x_size + y_size))
-
-
-def _pairs(batches):
-    """Rows (shingle, doc, component, size, place) sorted by shingle, at most COLD each: pairs of different components that may reach the similarity."""
-    left = None
-    for batch in batches:
-        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-        now = now if left is None else np.concatenate([left, now], 1)
-        cuts = np.flatnonzero(np.diff(now[0])) + 1
-        done = cuts[-1] if len(cuts) else 0
-        left = now[:, done:]
-        yield _pairs_of(now[:, :done], cuts[:-1])
-    if left is not None:
-        yield _pairs_of(left, np.zeros(0, np.int64))
-
-
-def _pairs_of(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-    out = [np.zeros((2, 0), np.int64)]
-    for g in np.split(rows, cuts, axis=1):
-        g = g[:, np.lexsort((g[1], g[3]))]
-        i, j = np.triu_indices(g.shape[1], 1)
-        ok = (g[2][i] != g[2][j]) & _may_reach(g[3][i], g[4][i], g[3][j], g[4][j])
-        out.append(np.stack([g[1][i[ok]], g[1][j[ok]]]))
-    a, b = np.concatenate(out, 1)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _verified(pairs: DataFrame, slim: DataFrame, crowd: int = 256) -> DataFrame:
+    """The pairs (a, b) of documents that reach the similarity; only texts in a pair are shuffled, and an ``a`` of many pairs is dealt out over salts."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near-wanted")
+    texts = written(only_ids(slim, "doc", wanted), "near-pair-texts")
+    hot = written(pairs.groupBy("a").count().where(F.col("count") > crowd).select("a", F.ceil(F.col("count") / crowd).alias("salts")), "near-crowds")
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    two = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").join(F.broadcast(hot) if hot.count() < 10_000 else hot, "a", "left")
+    two = two.select("a", F.pmod(F.xxhash64("b"), salts).alias("salt"), "b", "y")
+    one = texts.select(F.col("doc").alias("a"), F.col("text").alias("x")).join(hot, "a", "left")
+    one = one.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), "x")
+    return two.join(one, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
 
 
 class _Slice:
     """Homes of a slice, with an index of their shingles; components already joined are not compared again."""
 
     def __init__(self, parts: list[tuple]):
-        self.doc, self.comp, self.size, self.at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        sets = [s for p in parts for s in p[4]]
+        self.comp, self.size = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        sets = [s for p in parts for s in p[2]]
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner, self.root, self.forest = flat[order], owner[order], self.comp.copy(), _Forest()
 
-    def join(self, doc: int, comp: int, size: int, at: int, hashes: np.ndarray) -> list[tuple[int, int]]:
-        first = (self.size < size) | ((self.size == size) & (self.doc < doc))
-        open_ = np.flatnonzero(first & (self.root != self.forest.root(comp)) & _may_reach(self.size, self.at, size, at))
+    def join(self, comp: int, size: int, hashes: np.ndarray) -> list[tuple[int, int]]:
+        near = 5 * np.minimum(self.size, size) >= 4 * np.maximum(self.size, size)
+        open_ = np.flatnonzero(near & (self.root != self.forest.root(comp)))
         if not len(open_):
             return []
         a, n = np.searchsorted(self.flat, hashes), np.searchsorted(self.flat, hashes, "right")
         n = n - a
         at_all = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        both = np.bincount(self.owner[at_all], minlength=len(self.doc))[open_]
+        both = np.bincount(self.owner[at_all], minlength=len(self.comp))[open_]
         links = []
         for other in self.comp[open_[both >= STAGE_SIMILARITY * (self.size[open_] + size - both)]].tolist():
             if self.forest.join(comp, other):
@@ -406,11 +406,11 @@ class _Slice:
 
 
 def _resolve(batches):
-    """Rows (shingle, slice, home, doc, component, size, place, set) sorted, homes first: links between components, all pairs of the slice compared."""
+    """Rows (shingle, slice, home, component, size, set) sorted, homes first: links between components, each row compared with all homes of its slice."""
     key, homes, made = None, [], None
     for batch in batches:
-        token, piece, home, doc, comp, size, at = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
-        sets = batch.column(7)
+        token, piece, home, comp, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+        sets = batch.column(5)
         cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(piece) != 0) | (np.diff(home) != 0)) + 1
         links: list[tuple[int, int]] = []
         for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(token)], strict=True):
@@ -420,11 +420,11 @@ def _resolve(batches):
                 key, homes, made = (token[start], piece[start]), [], None
             own = [sets[i].values.to_numpy(zero_copy_only=False) for i in range(start, end)]
             if home[start]:
-                homes.append((doc[start:end], comp[start:end], size[start:end], at[start:end], own))
+                homes.append((comp[start:end], size[start:end], own))
             elif homes:
                 made = made or _Slice(homes)
                 for i, s in zip(range(start, end), own, strict=True):
-                    links += made.join(int(doc[i]), int(comp[i]), int(size[i]), int(at[i]), s)
+                    links += made.join(int(comp[i]), int(size[i]), s)
         if links:
             a, b = np.array(links, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -436,43 +436,87 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "set"])
 
 
-def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents that reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = slim.join(wanted, "doc", "left_semi")
-    one = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return two.mapInArrow(_verify, "a bigint, b bigint")
+def _pairs(batches):
+    """Rows (shingle, doc, component, size) sorted by shingle, few each: pairs of different components and of sizes that may reach the similarity."""
+    left = None
+    for batch in batches:
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        now = now if left is None else np.concatenate([left, now], 1)
+        cuts = np.flatnonzero(np.diff(now[0])) + 1
+        done = cuts[-1] if len(cuts) else 0
+        left = now[:, done:]
+        yield _pairs_of(now[:, :done], cuts[:-1])
+    if left is not None:
+        yield _pairs_of(left, np.zeros(0, np.int64))
 
 
-def _rest(nodes: DataFrame, slim: DataFrame, cold: int = COLD, slice_: int = SLICE) -> DataFrame:
-    """Links (a, b) between different components of ``nodes`` (doc, size, prefix, component), so that with them no pair of similarity 0.8 is apart.
+def _pairs_of(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    out = [np.zeros((2, 0), np.int64)]
+    for g in np.split(rows, cuts, axis=1):
+        i, j = np.triu_indices(g.shape[1], 1)
+        ok = (g[2][i] != g[2][j]) & (5 * np.minimum(g[3][i], g[3][j]) >= 4 * np.maximum(g[3][i], g[3][j]))
+        out.append(np.stack([g[1][i[ok]], g[1][j[ok]]]))
+    a, b = np.unique(np.sort(np.concatenate(out, 1), axis=0), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _shared(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(token, k, low, high, doc, component, size) of the prefix shingles that nodes of different components share, written."""
+    spark = nodes.sparkSession
+    placed = nodes.select("doc", F.explode("prefix").alias("token"))
+    often = placed.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1")
+    often, path = written_at(often, "near-shared")
+    # few of all prefix rows are left: the rest of what is known of them comes by joins
+    docs = often.select("doc").distinct()
+    known = only_ids(nodes.select("doc", "size"), "doc", docs).join(joined, F.col("doc") == F.col("node"), "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
+    full = often.join(known, "doc")
+    ends = full.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    out = written(full.join(ends, "token"), "near-open")
+    drop_path(spark, path)
+    return out
+
+
+def _rest(nodes: DataFrame, joined: DataFrame, slim: DataFrame, cold: int = COLD, slice_: int = SLICE) -> DataFrame:
+    """Links (a, b) between nodes of different components, so that with them no pair of similarity 0.8 is apart.
 
     Two such sets share a shingle of their prefixes.  Up to ``cold`` members of
-    a shingle are paired and verified on their texts; beyond that the members'
-    sets go past slices of at most about ``slice_`` of them.
+    a shingle are paired and verified on their texts.  Beyond that, the sets of
+    all members go past those of the members that aren't in the shingle's
+    largest component, in slices of about ``slice_`` shingles of such homes.
     """
     spark = nodes.sparkSession
-    placed = nodes.select("doc", "component", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = placed.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("k > 1 AND low <> high")
-    shared = written(shared.select("token", "k"), "near-shared")
-    few = placed.join(shared.where(F.col("k") <= cold), "token").select("token", "doc", "component", "size", "at")
+    shared = _shared(nodes, joined)
+    few = shared.where(F.col("k") <= cold).select("token", "doc", "component", "size")
     pairs = few.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_pairs, "a bigint, b bigint")
     found = _verified(written(pairs.distinct(), "near-rest"), slim)
-    hot = shared.where(F.col("k") > cold).select("token", F.ceil(F.col("k") / slice_).alias("slices"))
-    many = written(placed.join(hot, "token"), "near-many")
-    sets = written(slim.join(many.select("doc").distinct(), "doc", "left_semi").mapInArrow(_sets, "doc bigint, set array<bigint>"), "near-sets")
-    # a set goes past every slice, and is at home in one if the shorter of a pair can have its first shared shingle there
+    many = shared.where(F.col("k") > cold)
+    if many.isEmpty():
+        return found
+    per = many.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    most = per.groupBy("token").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("s").alias("every"), F.max_by("s", F.struct("n", "component")).alias("most"))
+    slices = most.select("token", F.col("top.component").alias("largest"), F.greatest(F.lit(1), F.ceil((F.col("every") - F.col("most")) / slice_)).cast("bigint").alias("slices"))
+    hot = written(many.select("token", "doc", "component", "size").join(slices, "token"), "near-hot")
+    sets = written(only_ids(slim, "doc", hot.select("doc").distinct()).mapInArrow(_sets, "doc bigint, set array<bigint>"), "near-sets")
     every = F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)
-    past = many.select("token", F.explode(every).alias("slice"), F.lit(0).alias("home"), "doc", "component", "size", "at")
-    index = F.col("at") <= F.col("size") - F.ceil(8 * F.col("size") / 9)
-    homes = many.where(index).select("token", F.pmod(F.xxhash64("doc"), "slices").alias("slice"), F.lit(1).alias("home"), "doc", "component", "size", "at")
-    rows = homes.unionByName(past).join(sets, "doc").select("token", "slice", "home", "doc", "component", "size", "at", "set")
+    past = hot.select("token", F.explode(every).alias("slice"), F.lit(0).alias("home"), "doc", "component", "size")
+    homes = hot.where(F.col("component") != F.col("largest")).select("token", F.pmod(F.xxhash64("doc"), "slices").alias("slice"), F.lit(1).alias("home"), "doc", "component", "size")
+    rows = homes.unionByName(past).join(sets, "doc").select("token", "slice", "home", "component", "size", "set")
     dealt = rows.repartition(shuffle_partitions(spark), "token", "slice").sortWithinPartitions("token", "slice", F.desc("home"))
     return found.unionByName(dealt.mapInArrow(_resolve, "a bigint, b bigint").distinct())
 
 
-def similar_groups(docs: DataFrame, **limits) -> DataFrame:
+def _one_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text), of an id with several rows the one whose text is first by hash; and those ids, None if there are none."""
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    again = slim.groupBy("doc").count().where("count > 1").select("doc")
+    if again.isEmpty():
+        return slim, None
+    again = written(again, "near-again")
+    first = only_ids(slim, "doc", again).withColumn("nth", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text"))).where("nth = 1").drop("nth")
+    return written(without_ids(slim, "doc", again).unionByName(first), "near-texts"), again
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """(doc, component): groups of documents linked by a similarity of 0.8 or more of their sets of five-word shingles, no link left out.
 
     Equal shingle sets collapse first.  Documents with an equal SimHash of a
@@ -481,35 +525,37 @@ def similar_groups(docs: DataFrame, **limits) -> DataFrame:
     with the documents.  What that leaves apart is searched exactly: see
     :func:`_rest`.  Of an id with several texts the one that the stage keeps counts.
     """
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    if _repeats(slim):
-        same_id = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
-        slim = written(slim.withColumn("nth", F.row_number().over(same_id)).where("nth = 1").drop("nth"), "near-texts")
-    prints = written(slim.mapInArrow(_stage_prints(_common(slim)), "doc bigint, size bigint, whole binary, samples array<bigint>, prefix array<bigint>"), "near-prints")
-    least = prints.groupBy("whole").agg(F.min("doc").alias("doc"))
-    nodes = written(prints.join(least, ["whole", "doc"], "left_semi"), "near-nodes")
+    return _grouped(_one_text(docs, id_col, text_col)[0], **limits)
+
+
+def _grouped(slim: DataFrame, **limits) -> DataFrame:
+    common = slim.sparkSession.sparkContext.broadcast(_common(slim))
+    prints = written(slim.mapInArrow(_stage_prints(common), "doc bigint, size bigint, whole binary, samples array<bigint>, prefix array<bigint>"), "near-prints")
+    least = prints.groupBy("whole").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    copies = written(prints.select("doc", "whole").join(least, "whole").where("doc <> rep").select("doc", "rep"), "near-copies")
+    nodes = without_ids(prints.select("doc", "size", "samples", "prefix"), "doc", copies)
     buckets = nodes.select(F.posexplode("samples").alias("nth", "print"), "doc", "size")
     first = buckets.groupBy("nth", "print").agg(F.min(F.struct("doc", "size")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("nth", "print", F.col("f.doc").alias("a"), F.col("f.size").alias("a_size"))
     close = F.least("a_size", "size") >= STAGE_SIMILARITY * F.greatest("a_size", "size")
     pairs = buckets.join(first, ["nth", "print"]).where((F.col("doc") != F.col("a")) & close).select("a", F.col("doc").alias("b"))
     joined = components(_verified(written(pairs.distinct(), "near-pairs"), slim))
-    named = nodes.join(joined, nodes["doc"] == joined["node"], "left").select("whole", "doc", "size", "prefix", F.coalesce("component", "doc").alias("component"))
-    named = written(named, "near-named")
-    more = components(_rest(named, slim, **limits)).select(F.col("node").alias("component"), F.col("component").alias("least"))
-    ends = named.select("whole", "component").join(more, "component", "left").select("whole", F.coalesce("least", "component").alias("component"))
-    return prints.select("doc", "whole").join(ends, "whole").select("doc", "component")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some id has several rows."""
-    return not docs.groupBy("doc").count().where("count > 1").isEmpty()
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest(nodes, joined, slim, **limits))
+    ends = components(links)
+    named = prints.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
+    return named.join(ends, named["rep"] == ends["node"], "left").select("doc", F.coalesce("component", "rep").alias("component"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of similar documents the one with the smallest id stays; rows without an id stay."""
     shared_dir(spark)
-    found = similar_groups(docs).where(F.col("doc") == F.col("component")).select("doc").distinct()
-    kept = docs.join(found, docs["doc_id"].cast("bigint") == found["doc"]).drop("doc")
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = kept.withColumn("__nth", F.row_number().over(same_id)).where("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    held = Held(docs)
+    ident, text = held["doc_id"], held["text"]
+    slim, again = _one_text(held.df, ident, text)
+    gone = written(_grouped(slim).where(F.col("doc") != F.col("component")).select("doc"), "near-gone")
+    number = F.col(ident).cast("bigint")
+    kept = without_ids(held.df.withColumn("__doc", number), "__doc", gone)
+    if again is None:
+        return held.back(kept)
+    same_id = Window.partitionBy("__doc").orderBy(F.xxhash64(text), text)
+    first = only_ids(kept, "__doc", again).withColumn("__nth", F.row_number().over(same_id)).where("__nth = 1").drop("__nth")
+    return held.back(without_ids(kept, "__doc", again).unionByName(first))

@@ -190,3 +190,43 @@ def test_stage_keeps_links_among_equal_fingerprints(spark):
     docs = edited_pairs(400, "one two three four five " * 60)
     assert len({simhash.fingerprint(t) for _, t in docs}) < 40
     assert groups(spark, docs) == {i: i - i % 2 for i, _ in docs}
+
+
+def test_stage_loses_no_pair_behind_a_crowd_of_smaller_ids(spark):
+    """Per group: forty variants of a text, alike to it at 0.71 at most, ahead of a pair of 0.87 or more."""
+    rng = random.Random(33)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    docs, pairs = [], []
+    for g in range(12):
+        base = [word() for _ in range(300)]
+        for v in range(40):
+            own = base[:]
+            for at in range(4, 300, 18):
+                own[at + rng.randrange(8)] = word()
+            docs.append((1000 * g + v, " ".join(own)))
+        near = base[:]
+        for at in (50, 150, 250):
+            near[at] = word()
+        docs += [(1000 * g + 900, " ".join(base)), (1000 * g + 901, " ".join(near))]
+        pairs.append((1000 * g + 900, 1000 * g + 901))
+    want = plain_groups(docs)
+    assert all(want[b] == a for a, b in pairs)
+    assert groups(spark, docs) == want
+    assert groups(spark, docs, cold=3, slice_=2000) == want
+
+
+def test_filters_by_ids(spark):
+    from plumbline.llm.common import only_ids, without_ids
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in [*range(3000), -5, 2**63 - 1, -(2**63)]] + [(None, "none")], "x bigint, t string")
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 3000, 7), -5, -(2**63), None]], "doc bigint")
+    wanted = {*range(0, 3000, 7), -5, -(2**63)}
+    assert {r.x for r in only_ids(df, "x", ids).collect()} == wanted
+    assert sorted((r.x is None, r.x or 0) for r in without_ids(df, "x", ids).collect()) == sorted((x is None, x or 0) for x in [*range(3000), 2**63 - 1, None] if x is None or x not in wanted)
+
+
+def test_stage_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 1, "p"), (2, "a b c d", 8, 2, "q"), (2, "a b c e", 8, 3, "r"), (3, "x y z q w", 9, 4, "s")], "doc_id bigint, text string, doc int, node int, __may string")
+    kept = simhash.stage(spark, docs, "")
+    assert kept.columns == docs.columns and len(kept.collect()) in (2, 3)
+    assert {tuple(r) for r in kept.collect()} >= {(1, "a b c d", 7, 1, "p"), (3, "x y z q w", 9, 4, "s")}
