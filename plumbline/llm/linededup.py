@@ -1,30 +1,40 @@
 """Incremental, reversible line dedup.
 
-State of a :class:`LineIndex`, all of it tables in the shared folder:
+State of a :class:`LineIndex`, all of it tables in the shared folder, laid out
+by hash shards of the line keys (128 bits of hash of the stripped, lower-cased
+line):
 
 * the exact reference table: one row (key, doc) for each document that holds
-  a line key, a key being 128 bits of hash of the stripped, lower-cased line.
-  Insertions append rows and deletions take a document's rows out.  The reference count of a key is the number of its rows, and its
-  keeper the largest document.
-* the active keys (reference count at or above the threshold) with keepers,
-  hash-sharded, and for each shard a cuckoo filter over them.  A new index
-  recounts all references and builds its filters anew, so when a count crosses
-  the threshold downwards the key goes and the lines come back.
-
-To apply the index, the filters screen the lines of each document where it
-lies: only keys that a filter lets pass go on to the exact table, which
-confirms them (a false positive of a filter costs a row, never a line).  The
-filters are broadcast only while their summed size is under ``max_filter_bytes``;
-beyond that all keys go to the exact table, with the same result.
-
-Counts are summed before each shuffle, and a hot key is one row per document
-at most; the join of candidates with the active keys is an ordinary join, so
-skewed keys are split at run time.
+  a line key.  The reference count of a key is the number of its rows, and its
+  keeper the largest document;
+* the active keys (reference count at or above the threshold) with keepers;
+* for each shard a cuckoo filter over its active keys.
+
+An insertion or deletion finds the shards of the documents' keys and writes
+those anew, as a generation of its own; the other shards stay where they are,
+unread.  In a touched shard, keys whose count crossed the threshold upwards go
+into the stored filter, those that crossed it downwards are deleted from it;
+only a filter that is full is built anew, larger.  An index is never changed
+in place, so an earlier one stays good, and when a count falls below the
+threshold the lines come back.  Shards are dealt anew, four times as many, when
+they hold over four times ``keys_per_shard`` active keys.
+
+To apply the index, the filters screen the lines of each document: only keys
+that a filter lets pass go on to the exact table, which confirms them (a false
+positive of a filter costs a row, never a line).  Filters of up to
+``max_filter_bytes`` in all are broadcast and screen lines where the texts lie;
+beyond that keys go to their shard's filter, a shard being dealt out over
+salts of the documents so that a hot key doesn't meet in one task.
+
+Counts are summed before each shuffle, a hot key is one row per document at
+most and is split when the reference table is written; the join of candidates
+with the active keys is an ordinary join, so skewed keys are split at run time.
 
 Defined cases: null or empty text is one empty line.  A row whose doc_id is
 null holds no references: it neither counts nor loses lines.  Repeated rows of
 a doc_id count once and are treated alike.  Keys shorter than ``min_chars``
-code points are never touched.  Extra columns pass through.
+code points are never touched.  Ids are whole numbers.  Extra columns pass
+through; a result column takes the place of a caller's of the same name.
 """
 
 from __future__ import annotations
@@ -34,12 +44,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import table, text_bytes, written
+from plumbline.llm.common import Held, scratch, shuffle_partitions, table, text_bytes, written
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -140,7 +151,7 @@ def _halves(keys: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-_REFS = T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("doc", T.LongType())])
+_REFS = "hi bigint, lo bigint, doc bigint"
 
 
 def _emit_keys(min_chars: int, screen):
@@ -172,70 +183,185 @@ def _emit_keys(min_chars: int, screen):
     return run
 
 
+def _screened(batches):
+    """Rows (shard, salt, n_buckets, filter, hi, lo, doc) sorted, the filter of a shard and salt first: the keys that it lets pass."""
+    now, held = None, None
+    for batch in batches:
+        shard, salt = (batch.column(i).to_numpy() for i in (0, 1))
+        hi, lo = (batch.column(i).fill_null(0).to_numpy().astype(np.int64).view(np.uint64) for i in (4, 5))
+        keep = np.zeros(batch.num_rows, bool)
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist(), strict=True):
+            if a == b:
+                continue
+            if now != (shard[a], salt[a]):
+                now, held = (shard[a], salt[a]), None
+            if batch.column(3)[a].is_valid:
+                n = batch.column(2)[a].as_py()
+                held = CuckooFilter(n, np.frombuffer(batch.column(3)[a].as_py(), np.uint16).reshape(n, CuckooFilter.SLOTS))
+                a += 1
+            if held is not None:
+                keep[a:b] = held.contains(hi[a:b], lo[a:b])
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (4, 5, 6)], names=["hi", "lo", "doc"])
+
+
+def _refilter(t: pa.Table) -> pa.Table:
+    """Rows of a shard (shard, hi, lo, was, now, n_buckets, filter), its stored filter being a row without a key: its filter with the keys that changed."""
+    stored = t.filter(pc.is_valid(t.column("filter")))
+    keys = t.filter(pc.is_null(t.column("filter")))
+    hi, lo = (keys.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hi", "lo"))
+    was, now = (keys.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("was", "now"))
+    made, built = None, False
+    if stored.num_rows:
+        n = stored.column("n_buckets")[0].as_py()
+        made = CuckooFilter(n, np.frombuffer(stored.column("filter")[0].as_py(), np.uint16).reshape(n, CuckooFilter.SLOTS).copy())
+        for a, b in zip(hi[was & ~now].tolist(), lo[was & ~now].tolist(), strict=True):
+            made.delete(a, b)
+        if not all(made.insert(a, b) for a, b in zip(hi[now & ~was].tolist(), lo[now & ~was].tolist(), strict=True)):
+            made = None
+    if made is None:
+        made, built = CuckooFilter.of(hi[now], lo[now]), True
+    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "keys": pa.array([int(now.sum())], pa.int64()), "n_buckets": pa.array([made.n], pa.int64()), "filter": pa.array([made.table.tobytes()], pa.binary()), "built": pa.array([built])})
+
+
+_SCHEMAS = {
+    "refs": f"{_REFS}, shard bigint",
+    "active": "hi bigint, lo bigint, refs bigint, keeper bigint, shard bigint",
+    "filters": "keys bigint, n_buckets bigint, filter binary, built boolean, shard bigint",
+}
+
+
 class LineIndex:
-    """Reference counts of line keys, with cuckoo filters over the active ones."""
+    """Reference counts of line keys, with cuckoo filters over the active ones.
 
-    def __init__(self, spark: SparkSession, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 100_000, max_filter_bytes: int = 32 << 20, refs: DataFrame | None = None):
+    ``parts`` says for each shard that holds anything in which folder it lies.
+    """
+
+    def __init__(self, spark: SparkSession, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 100_000, max_filter_bytes: int = 32 << 20, shards: int = 16, parts: dict[int, str] | None = None):
         self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
         self.keys_per_shard, self.max_filter_bytes = keys_per_shard, max_filter_bytes
-        self.refs = refs if refs is not None else spark.createDataFrame([], _REFS)
-        self._active: DataFrame | None = None
+        self.shards, self.parts = shards, parts or {}
+
+    # -- stored tables --
+
+    def _table(self, kind: str, among=None) -> DataFrame:
+        """Rows of a stored table, of some shards only if ``among`` is given; other shards' files are not read."""
+        folders: dict[str, list[int]] = {}
+        for shard, folder in self.parts.items():
+            if among is None or shard in among:
+                folders.setdefault(folder, []).append(shard)
+        schema = T._parse_datatype_string(_SCHEMAS[kind])
+        out = self.spark.createDataFrame([], schema)
+        for folder, shards in folders.items():
+            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{folder}/{kind}").where(F.col("shard").isin(shards)))
+        return out
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._table("refs").drop("shard")
+
+    @property
+    def active(self) -> DataFrame:
+        """(hi, lo, refs, keeper, shard) of the keys at or above the threshold."""
+        return self._table("active")
+
+    @property
+    def filters(self) -> DataFrame:
+        """(keys, n_buckets, filter, built, shard); ``built`` if the last change built the filter anew."""
+        return self._table("filters")
+
+    # -- changes --
 
     def _keys(self, docs: DataFrame, id_col: str, text_col: str, screen=None) -> DataFrame:
         slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
         return slim.mapInArrow(_emit_keys(self.min_chars, screen), _REFS)
 
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.withColumn("shard", F.shiftrightunsigned("hi", 40) % self.shards)
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with the references of ``docs`` added; documents already in it keep theirs once."""
-        return self._with(self.refs.unionByName(self._keys(docs, id_col, text_col)))
-
-    def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """The index without the references of the given documents."""
-        gone = ids.select(F.col(id_col).cast("bigint").alias("doc")).distinct()
-        return self._with(self.refs.join(gone, "doc", "left_anti").select("hi", "lo", "doc"))
-
-    def _with(self, refs: DataFrame) -> LineIndex:
-        return LineIndex(self.spark, self.min_chars, self.min_docs, self.keys_per_shard, self.max_filter_bytes, refs)
-
-    def saved(self) -> LineIndex:
-        """The index over a written reference table."""
-        return self._with(written(self.refs, "line-refs"))
-
-    @property
-    def active(self) -> DataFrame:
-        """(hi, lo, refs, keeper) of the keys at or above the threshold, in a written table."""
-        if self._active is None:
-            counts = self.refs.distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.max("doc").alias("keeper"))
-            self._active = written(counts.where(F.col("refs") >= self.min_docs), "line-active")
-        return self._active
-
-    def filters(self) -> tuple[int, DataFrame]:
-        """(shards, table of (shard, n_buckets, filter))."""
-        n = self.active.count()
-        shards = max(1, -(-n // self.keys_per_shard))
-
-        def build(t: pa.Table) -> pa.Table:
-            hi, lo = (t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-            made = CuckooFilter.of(hi, lo)
-            return pa.table({"shard": [t.column("shard")[0].as_py()], "n_buckets": [made.n], "filter": pa.array([made.table.tobytes()], pa.binary())})
-
-        shard = F.shiftrightunsigned("hi", 40) % shards
-        sharded = self.active.select("hi", "lo", shard.alias("shard"))
-        return shards, sharded.groupBy("shard").applyInArrow(build, "shard bigint, n_buckets bigint, filter binary")
-
-    def _screen(self):
-        """Broadcast filters while they are small, else None."""
-        shards, made = self.filters()
-        made = written(made, "line-filters")
-        size = made.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        if size > self.max_filter_bytes:
-            return None
-        return self.spark.sparkContext.broadcast((shards, [tuple(r) for r in made.collect()]))
-
-    def drops(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return self._changed(self._keys(docs, id_col, text_col), True)
+
+    def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> LineIndex:
+        """The index without the references of the given documents.
+
+        With their texts only the shards of their lines are read; by ids alone
+        the whole reference table is searched for them.
+        """
+        if text_col is not None:
+            return self._changed(self._keys(docs, id_col, text_col), False)
+        gone = docs.select(F.col(id_col).cast("bigint").alias("doc")).distinct()
+        return self._changed(self.refs.join(gone, "doc", "left_semi").select("hi", "lo", "doc"), False)
+
+    def _changed(self, change: DataFrame, add: bool) -> LineIndex:
+        # of an empty index the change is all there is: it is written as the new shards at once
+        if self.parts:
+            change = written(self._sharded(change).distinct(), "line-change")
+            touched = {r.shard for r in change.select("shard").distinct().collect()}  # at most one row a shard
+            before = self._table("refs", touched)
+            keys = ["hi", "lo", "doc", "shard"]
+            refs = before.unionByName(change.select(before.columns)).distinct() if add else before.join(change.select(keys), keys, "left_anti")
+        else:
+            touched, refs = None, self._sharded(change).distinct() if add else self._sharded(change).limit(0)
+        folder = scratch(self.spark, "line-index")
+        self._write(refs, folder, "refs")
+        return self._recounted(folder, touched)._fitted()
+
+    def _write(self, df: DataFrame, folder: str, kind: str) -> None:
+        names = [f.name for f in T._parse_datatype_string(_SCHEMAS[kind])]
+        # rows of a shard lie together, a large shard in several files
+        df.select(names).hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(f"{folder}/{kind}")
+
+    def _recounted(self, folder: str, touched: set[int] | None) -> LineIndex:
+        """The index with the shards below ``folder`` (only the touched ones, if given) in place of its own."""
+        read = lambda kind: self.spark.read.schema(T._parse_datatype_string(_SCHEMAS[kind])).parquet(f"{folder}/{kind}")
+        counts = read("refs").groupBy("hi", "lo", "shard").agg(F.count(F.lit(1)).alias("refs"), F.max("doc").alias("keeper"))
+        self._write(counts.where(F.col("refs") >= self.min_docs), folder, "active")
+        now = read("active").select("hi", "lo", "shard", F.lit(True).alias("now"))
+        old = set() if touched is None else touched & set(self.parts)
+        was = self._table("active", old).select("hi", "lo", "shard", F.lit(True).alias("was"))
+        keys = now.join(was, ["hi", "lo", "shard"], "full_outer") if old else now.withColumn("was", F.lit(False))
+        keys = keys.select("shard", "hi", "lo", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("now", F.lit(False)).alias("now"), F.lit(None).cast("bigint").alias("n_buckets"), F.lit(None).cast("binary").alias("filter"))
+        none, no = F.lit(None).cast("bigint"), F.lit(False)
+        if old:
+            keys = keys.unionByName(self._table("filters", old).select("shard", none.alias("hi"), none.alias("lo"), no.alias("was"), no.alias("now"), "n_buckets", "filter"))
+        self._write(keys.groupBy("shard").applyInArrow(_refilter, "shard bigint, keys bigint, n_buckets bigint, filter binary, built boolean"), folder, "filters")
+        there = {r.shard for r in read("refs").select("shard").distinct().collect()}
+        parts = {s: f for s, f in self.parts.items() if touched is not None and s not in touched}
+        return self._with(self.shards, parts | {s: folder for s in there})
+
+    def _fitted(self) -> LineIndex:
+        """The index with four times the shards as long as they hold too many keys."""
+        held, index = self.filters.agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0], self
+        shards = self.shards
+        while held > 4 * self.keys_per_shard * shards:
+            shards *= 4
+        if shards > self.shards:
+            index, folder = self._with(shards, {}), scratch(self.spark, "line-index")
+            index._write(index._sharded(self.refs), folder, "refs")
+            index = index._recounted(folder, None)
+        return index
+
+    def _with(self, shards: int, parts: dict[int, str]) -> LineIndex:
+        return LineIndex(self.spark, self.min_chars, self.min_docs, self.keys_per_shard, self.max_filter_bytes, shards, parts)
+
+    # -- use --
+
+    def drops(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8) -> DataFrame:
         """(doc, keys): the keys whose lines a document loses."""
-        candidates = self._keys(docs, id_col, text_col, self._screen())
-        hit = candidates.join(self.active, ["hi", "lo"]).where(F.col("doc") != F.col("keeper"))
+        filters = self.filters.select("shard", "n_buckets", "filter")
+        size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
+        if size <= self.max_filter_bytes:
+            screen = self.spark.sparkContext.broadcast((self.shards, [tuple(r) for r in filters.collect()]))
+            candidates = self._keys(docs, id_col, text_col, screen)
+        else:
+            keys = self._sharded(self._keys(docs, id_col, text_col)).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+            every = filters.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
+            rows = every.unionByName(keys, allowMissingColumns=True).select("shard", "salt", "n_buckets", "filter", "hi", "lo", "doc")
+            dealt = rows.repartition(shuffle_partitions(self.spark), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("n_buckets").asc_nulls_last())
+            candidates = dealt.mapInArrow(_screened, _REFS)
+        hit = candidates.join(self.active.select("hi", "lo", "keeper"), ["hi", "lo"]).where(F.col("doc") != F.col("keeper"))
         return hit.groupBy("doc").agg(F.collect_set(F.struct("hi", "lo")).alias("__drop"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,11 +373,11 @@ class LineIndex:
         return self._rebuilt(docs, id_col, text_col, True)
 
     def _rebuilt(self, docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
-        drop = self.drops(docs, id_col, text_col)
-        joined = docs.join(drop, docs[id_col].cast("bigint") == drop["doc"], "left").drop("doc")
-        n = len(docs.columns)
-        schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("__n_lines bigint, __n_dropped bigint, __kept string").fields])
-        at, min_chars = docs.columns.index(text_col), self.min_chars
+        drop, held = self.drops(docs, id_col, text_col), Held(docs)
+        joined = held.df.join(drop, F.col(held[id_col]).cast("bigint") == drop["doc"], "left").drop("doc")
+        n = len(held.inner)
+        schema = T.StructType([*held.df.schema.fields, *T._parse_datatype_string("__n_lines bigint, __n_dropped bigint, __kept string").fields])
+        at, min_chars = held.inner.index(held[text_col]), self.min_chars
 
         def run(batches):
             for batch in batches:
@@ -274,7 +400,7 @@ class LineIndex:
                     kept_out.append(hashlib.sha256(body).hexdigest() if digest else body.decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lines_out, pa.int64()), pa.array(dropped_out, pa.int64()), pa.array(kept_out, pa.string())], names=schema.names)
 
-        return joined.mapInArrow(run, schema)
+        return held.back(joined.mapInArrow(run, schema), "__n_lines", "__n_dropped", "__kept")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,22 +44,55 @@ def test_query_against_plain(spark, tmp_path):
     assert digests(op5_line_dedup(spark, path).collect()) == plain(docs)
 
 
+def view(spark, index, rows):
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return digests(index.digests(d).select("doc_id", "__n_lines", "__n_dropped", "__kept").collect())
+
+
 def test_deletion_takes_insertion_back(spark):
     docs = [d for d in made() if d[0] is not None and d[0] != 3]
     first, second = docs[:40], docs[40:]
     d = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    view = lambda index, rows: digests(index.digests(d(rows)).select("doc_id", "__n_lines", "__n_dropped", "__kept").collect())
-    one = LineIndex(spark, keys_per_shard=3).insert(d(first)).saved()
-    both = one.insert(d(second)).saved()
-    assert view(both, docs) == plain(docs)
-    assert view(both.delete(d(second)), first) == view(one, first) == plain(first)
+    one = LineIndex(spark, shards=3).insert(d(first))
+    both = one.insert(d(second))
+    assert view(spark, both, docs) == plain(docs)
+    assert view(spark, both.delete(d(second)), first) == view(spark, both.delete(d(second), text_col="text"), first) == view(spark, one, first) == plain(first)
 
 
-def test_exact_way_without_filters(spark):
+def test_one_document_changes_its_shards_alone(spark):
+    docs = [d for d in made() if d[0] is not None and d[0] != 3]
+    d = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = LineIndex(spark, shards=64).insert(d(docs))
+    more = [(500, "an entirely new line, never seen before\n" + docs[0][1].split("\n")[0])]
+    hi = [r.hi for r in index._keys(d(more), "doc_id", "text").collect()]
+    touched = {((h % 2**64) >> 40) % 64 for h in hi}
+    after = index.insert(d(more))
+    assert {s for s, folder in after.parts.items() if folder != index.parts.get(s)} == touched and len(touched) <= 2
+    assert view(spark, after, docs + more) == plain(docs + more)
+    # the stored filters took the change: none was built anew where there was one
+    changed = {r.shard: r.built for r in after.filters.collect() if r.shard in touched}
+    had = {r.shard for r in index.filters.collect()}
+    assert not any(built for s, built in changed.items() if s in had)
+    back = after.delete(d(more), text_col="text")
+    assert sorted(map(tuple, back.refs.collect())) == sorted(map(tuple, index.refs.collect()))
+    assert {s for s, folder in back.parts.items() if folder != after.parts.get(s)} <= touched
+
+
+def test_filters_beyond_the_broadcast_and_more_shards(spark):
     docs = [d for d in made() if d[0] != 3]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    index = LineIndex(spark, max_filter_bytes=0).insert(df)
-    assert digests(index.digests(df).select("doc_id", "__n_lines", "__n_dropped", "__kept").collect()) == plain(docs)
+    index = LineIndex(spark, max_filter_bytes=0, keys_per_shard=1, shards=1).insert(df)
+    assert index.shards > 1 and index.filters.agg({"keys": "sum"}).first()[0] <= 4 * index.shards
+    assert view(spark, index, docs) == plain(docs)
+    passed = index.drops(df).selectExpr("doc", "explode(__drop) AS k").count()
+    assert passed == LineIndex(spark).insert(df).drops(df).selectExpr("doc", "explode(__drop) AS k").count() > 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a line that is long enough to count", i, i) for i in range(4)], "doc_id bigint, text string, doc int, __kept int")
+    out = LineIndex(spark).insert(docs).apply(docs)
+    assert out.columns == ["doc_id", "text", "doc", "__n_lines", "__n_dropped", "__kept"]
+    assert sorted((r.doc_id, r.doc, r["__kept"]) for r in out.collect()) == [(0, 0, ""), (1, 1, ""), (2, 2, ""), (3, 3, "a line that is long enough to count")]
 
 
 def test_cuckoo_filter():
