@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans import tables
+from plumbline.plans import tables, tables_product  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
