@@ -364,16 +364,21 @@ def _verify(batches):
 
 
 def _verified(pairs: DataFrame, slim: DataFrame, crowd: int = 256) -> DataFrame:
-    """The pairs (a, b) of documents that reach the similarity; only texts in a pair are shuffled, and an ``a`` of many pairs is dealt out over salts."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near-wanted")
-    texts = written(only_ids(slim, "doc", wanted), "near-pair-texts")
-    hot = written(pairs.groupBy("a").count().where(F.col("count") > crowd).select("a", F.ceil(F.col("count") / crowd).alias("salts")), "near-crowds")
+    """The pairs (a, b) of documents that reach the similarity, written; only texts in a pair are shuffled, and an ``a`` of many pairs is dealt out over salts."""
+    spark = slim.sparkSession
+    pairs, *paths = written_at(pairs, "near-pairs")
+    wanted, path = written_at(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near-wanted")
+    texts, path_t = written_at(only_ids(slim, "doc", wanted), "near-pair-texts")
+    hot, path_h = written_at(pairs.groupBy("a").count().where(F.col("count") > crowd).select("a", F.ceil(F.col("count") / crowd).alias("salts")), "near-crowds")
     salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    two = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").join(F.broadcast(hot) if hot.count() < 10_000 else hot, "a", "left")
+    two = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").join(hot, "a", "left")
     two = two.select("a", F.pmod(F.xxhash64("b"), salts).alias("salt"), "b", "y")
     one = texts.select(F.col("doc").alias("a"), F.col("text").alias("x")).join(hot, "a", "left")
     one = one.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), "x")
-    return two.join(one, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
+    out = written(two.join(one, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"), "near-links")
+    for done in (*paths, path, path_t, path_h):
+        drop_path(spark, done)
+    return out
 
 
 class _Slice:
@@ -437,10 +442,10 @@ def _sets(batches):
 
 
 def _pairs(batches):
-    """Rows (shingle, doc, component, size) sorted by shingle, few each: pairs of different components and of sizes that may reach the similarity."""
+    """Rows (shingle, doc, component, size, place) sorted by shingle, few each: (a, b, sizes, places) of pairs of different components and of sizes that may reach the similarity."""
     left = None
     for batch in batches:
-        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
         now = now if left is None else np.concatenate([left, now], 1)
         cuts = np.flatnonzero(np.diff(now[0])) + 1
         done = cuts[-1] if len(cuts) else 0
@@ -451,19 +456,34 @@ def _pairs(batches):
 
 
 def _pairs_of(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-    out = [np.zeros((2, 0), np.int64)]
+    out = [np.zeros((6, 0), np.int64)]
     for g in np.split(rows, cuts, axis=1):
+        g = g[:, np.argsort(g[1])]
         i, j = np.triu_indices(g.shape[1], 1)
         ok = (g[2][i] != g[2][j]) & (5 * np.minimum(g[3][i], g[3][j]) >= 4 * np.maximum(g[3][i], g[3][j]))
-        out.append(np.stack([g[1][i[ok]], g[1][j[ok]]]))
-    a, b = np.unique(np.sort(np.concatenate(out, 1), axis=0), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        i, j = i[ok], j[ok]
+        out.append(np.stack([g[1][i], g[1][j], g[3][i], g[3][j], g[4][i], g[4][j]]))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=["a", "b", "a_size", "b_size", "a_at", "b_at"])
+
+
+def _promising(nodes_of_tokens: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose shared prefix shingles, and all that may follow the last of them, can make up the similarity.
+
+    A pair that shares a hot shingle as well is compared there, so of any other
+    pair all shared prefix shingles are counted here.
+    """
+    spark = nodes_of_tokens.sparkSession
+    dealt = nodes_of_tokens.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
+    rows = dealt.mapInArrow(_pairs, "a bigint, b bigint, a_size bigint, b_size bigint, a_at bigint, b_at bigint")
+    per = rows.groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"), F.max("a_at").alias("i"), F.max("b_at").alias("j"))
+    most = F.col("n") + F.least(F.col("a_size") - F.col("i"), F.col("b_size") - F.col("j")) - 1
+    return per.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
 def _shared(nodes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(token, k, low, high, doc, component, size) of the prefix shingles that nodes of different components share, written."""
+    """(token, k, doc, at, component, size) of the prefix shingles that nodes of different components share, written."""
     spark = nodes.sparkSession
-    placed = nodes.select("doc", F.explode("prefix").alias("token"))
+    placed = nodes.select("doc", F.posexplode("prefix").alias("at", "token"))
     often = placed.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1")
     often, path = written_at(often, "near-shared")
     # few of all prefix rows are left: the rest of what is known of them comes by joins
@@ -471,7 +491,7 @@ def _shared(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     known = only_ids(nodes.select("doc", "size"), "doc", docs).join(joined, F.col("doc") == F.col("node"), "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
     full = often.join(known, "doc")
     ends = full.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    out = written(full.join(ends, "token"), "near-open")
+    out = written(full.join(ends.select("token"), "token"), "near-open")
     drop_path(spark, path)
     return out
 
@@ -486,9 +506,7 @@ def _rest(nodes: DataFrame, joined: DataFrame, slim: DataFrame, cold: int = COLD
     """
     spark = nodes.sparkSession
     shared = _shared(nodes, joined)
-    few = shared.where(F.col("k") <= cold).select("token", "doc", "component", "size")
-    pairs = few.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_pairs, "a bigint, b bigint")
-    found = _verified(written(pairs.distinct(), "near-rest"), slim)
+    found = _verified(_promising(shared.where(F.col("k") <= cold).select("token", "doc", "component", "size", "at")), slim)
     many = shared.where(F.col("k") > cold)
     if many.isEmpty():
         return found
@@ -538,7 +556,7 @@ def _grouped(slim: DataFrame, **limits) -> DataFrame:
     first = buckets.groupBy("nth", "print").agg(F.min(F.struct("doc", "size")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("nth", "print", F.col("f.doc").alias("a"), F.col("f.size").alias("a_size"))
     close = F.least("a_size", "size") >= STAGE_SIMILARITY * F.greatest("a_size", "size")
     pairs = buckets.join(first, ["nth", "print"]).where((F.col("doc") != F.col("a")) & close).select("a", F.col("doc").alias("b"))
-    joined = components(_verified(written(pairs.distinct(), "near-pairs"), slim))
+    joined = components(_verified(pairs.distinct(), slim))
     links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest(nodes, joined, slim, **limits))
     ends = components(links)
     named = prints.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
