@@ -4,6 +4,8 @@ __version__ = "0.1.0"
 
 _HOMES = {
     "lint_dataset": "plumbline.plans.lint",
+    "check_sensor_synchronization": "plumbline.plans.lint",
+    "check_label_consistency": "plumbline.plans.lint",
     "compare_datasets": "plumbline.plans.diff",
     "compute_dataset_stats": "plumbline.plans.stats",
     "Issue": "plumbline.plans.report",

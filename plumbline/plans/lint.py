@@ -79,6 +79,16 @@ def lint_bundle(bundle: Bundle, names: list[str]) -> list[Issue]:
     return load + to_issues(run_checks(bundle, names))
 
 
+def check_sensor_synchronization(bundle: Bundle) -> list[Issue]:
+    """Findings of all checks on how sensors go together in time."""
+    return to_issues(run_checks(bundle, GROUPS["sync"]))
+
+
+def check_label_consistency(bundle: Bundle) -> list[Issue]:
+    """Findings of all checks on labels along their tracks."""
+    return to_issues(run_checks(bundle, GROUPS["labels"]))
+
+
 def lint_dataset(path: str, config=None, checks=None, adapter=None, spark: SparkSession | None = None) -> LintReport:
     """Lint a native dataset folder; the report holds every finding in order."""
     from plumbline.session import session

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import itertools
 
-from plumbline.sources.adapters.base import Adapter, AdapterDependencyError, Found, UnsupportedDatasetFeature, sensors_of, sequences_of
+from plumbline.sources.adapters import readers
+from plumbline.sources.adapters.base import Adapter, AdapterDependencyError, Found, UnsupportedDatasetFeature
 from plumbline.sources.adapters.layouts import SPLITS, kind_of, number
+from plumbline.sources.manifest import records
 
 
 def topic_kind(topic: str, schema: str = "") -> str:
@@ -21,14 +23,25 @@ def topic_kind(topic: str, schema: str = "") -> str:
     return "topic"
 
 
+def _with_extra(read):
+    """A reader whose messages may lack the last field."""
+
+    def full(path):
+        for message in read(path):
+            yield (*message, None)[:4]
+
+    return full
+
+
 class LogAdapter(Adapter):
     """Files that are one sequence each; deep mode reads (topic, schema, time in ns, extra) messages.
 
-    A reader is called with a file's path and yields such tuples; for Waymo the
-    time is in microseconds.
+    A reader is called with a file's path, on the executors, and yields such
+    tuples; for Waymo the time is in microseconds.
     """
 
     suffixes: tuple[str, ...] = ()
+    parse = None
     kind = "log"
     per_second = 1e9
     not_checked = ("message contents",)
@@ -45,8 +58,11 @@ class LogAdapter(Adapter):
         return "index-level", list(self.checked), ["message contents", "message times"]
 
     def open_messages(self, options):
+        """The caller's reader, or that of the format if its parser package is installed."""
         if options.reader is not None:
             return options.reader
+        if self.parse is not None and all(self.availability().values()):
+            return self.parse
         raise AdapterDependencyError(f"deep mode of {self.name} needs a parser package: {', '.join(self.needs)}")
 
     def find(self, spark, store, options):
@@ -54,25 +70,16 @@ class LogAdapter(Adapter):
         sequences = [{"sequence_id": e.stem, "name": e.name, "split": next((p for p in e.parts if p in ("train", "training", "val", "validation", "test", "testing", *SPLITS)), None), "metadata": {"file_path": e.rel, "size": e.size}} for e in units]
         if not options.deep:
             return self.indexed(spark, store, units, sequences)
-        read, frames, warnings, truncated = self.open_messages(options), [], [], False
-        for e in units:
-            try:
-                room = options.max_rows - len(frames)
-                got = list(itertools.islice(read(store.path(e.rel)), room + 1))
-            except Exception as x:  # noqa: BLE001  any parser failure is reported for its file
-                warnings.append(f"parse error: {e.rel}: {x}")
-                continue
-            truncated |= len(got) > room
-            for i, (topic, schema, time, *_) in enumerate(got[:room]):
-                t = number(time)
-                frames.append({"frame_id": f"{e.stem}:{topic}:{i}", "sequence_id": e.stem, "timestamp": None if t is None else t / self.per_second, "sensor_id": topic, "metadata": {"kind": topic_kind(topic, schema or ""), "schema": schema}})
-            if len(frames) >= options.max_rows and truncated:
-                break
-        kinds = {f["sensor_id"]: f["metadata"]["kind"] for f in frames}
-        seen = {s["sequence_id"]: s for s in sequences_of(frames)}
-        rows = {"sequences": [s | {k: v for k, v in seen.get(s["sequence_id"], {}).items() if k in ("frame_count", "start_time", "end_time")} for s in sequences], "frames": frames, "sensors": sensors_of(frames, kinds)}
+        read = self.open_messages(options)
+        # a bounded sample; files are parsed once for all that is asked of it
+        every = readers.messages(spark, [(e.rel, e.stem, store.path(e.rel)) for e in units], _with_extra(read), self.per_second, options.max_rows).cache()
+        warnings = [r.error for r in every.where("error IS NOT NULL").orderBy("nth").collect()]
+        whole = every.where("error IS NULL")
+        truncated = whole.count() > options.max_rows
+        sample = whole.orderBy("nth", "i").limit(options.max_rows)
+        listed = records(spark, "sequences", sequences).drop("frame_count", "start_time", "end_time")
         limits = [f"only the first {options.max_rows} messages were read"] if truncated else []
-        return Found(store.root.rsplit("/", 1)[-1], rows=rows, metadata={"truncated": truncated}, limitations=limits, warnings=warnings)
+        return Found(store.root.rsplit("/", 1)[-1], rows=readers.records(sample, listed), metadata={"truncated": truncated}, limitations=limits, warnings=warnings)
 
     def indexed(self, spark, store, units, sequences):
         return Found(store.root.rsplit("/", 1)[-1], rows={"sequences": sequences}, limitations=[f"{self.kind} files are indexed, not opened"])
@@ -85,6 +92,7 @@ class LogAdapter(Adapter):
 
 class McapAdapter(LogAdapter):
     name, suffixes, kind, needs = "mcap", (".mcap",), "MCAP", ("mcap",)
+    parse = staticmethod(readers.mcap_messages)
     checked = ("files and sizes",)
 
     def problems(self, spark, store, m, options):
@@ -94,6 +102,7 @@ class McapAdapter(LogAdapter):
 
 class RosbagAdapter(LogAdapter):
     name, suffixes, kind, needs = "rosbag", (".bag", ".db3", ".sqlite3"), "bag", ("rosbags",)
+    parse = staticmethod(readers.bag_messages)
     checked = ("files and sizes", "topics of metadata.yaml")
 
     def can_load(self, store):
@@ -131,6 +140,7 @@ class RosbagAdapter(LogAdapter):
 
 class WaymoAdapter(LogAdapter):
     name, suffixes, kind, needs, per_second = "waymo", (".tfrecord", ".tfrecords"), "TFRecord", ("waymo_open_dataset",), 1e6
+    parse = staticmethod(readers.waymo_messages)
     checked = ("files and sizes", "segment names")
 
     def indexed(self, spark, store, units, sequences):
@@ -174,8 +184,12 @@ class HuggingFaceAdapter(Adapter):
         sensors = [{"sensor_id": f, "sensor_type": kinds[k], "name": f, "modality": k} for f, k in features.items() if k in kinds]
         splits = list(info.get("splits") or {}) or ([options.split] if options.split else [])
         sequences = [{"sequence_id": s, "name": s, "split": s} for s in splits or ["default"]]
+        remote = not store.entries
+        if remote and options.reader is None and not all(self.availability().values()):
+            note = "rows and features of a hub dataset need the package: datasets"
+            missing = {"dependency": "datasets", "split": options.split, "streaming": options.streaming, "remote": True}
+            return Found(name, None, {"sequences": sequences}, missing, [note], [note])
         if not options.deep:
-            remote = not store.entries
             limits = ["nothing was fetched"] if remote else ["rows are not read"]
             return Found(name, info.get("version") if isinstance(info.get("version"), str) else None, {"sequences": sequences, "sensors": sensors}, {"features": features, "remote": remote}, limits)
         rows, truncated = self._rows(spark, store, options)
@@ -192,11 +206,24 @@ class HuggingFaceAdapter(Adapter):
         limits = [f"only the first {options.max_rows} rows were read"] if truncated else []
         return Found(name, None, {"sequences": sequences, "frames": frames, "sensors": sensors, "annotations": notes}, {"features": features, "remote": False}, limits)
 
+    def _loaded(self, store, options):
+        """Rows by the package: of a saved folder, or of the hub, streamed if asked for."""
+        import datasets
+
+        if store.entries:
+            saved = datasets.load_from_disk(store.root)
+            return saved[options.split or next(iter(saved))] if hasattr(saved, "keys") else saved
+        name = store.root.removeprefix("hf://")
+        found = datasets.load_dataset(name, split=options.split, streaming=options.streaming)
+        return found[next(iter(found))] if hasattr(found, "keys") else found
+
     def _rows(self, spark, store, options):
         if options.reader is not None:
             got = list(itertools.islice(options.reader(store.root), options.max_rows + 1))
         elif data := [store.path(e.rel) for e in store.files if e.ext == ".parquet"]:
             got = [r.asDict(recursive=True) for r in spark.read.parquet(*data).limit(options.max_rows + 1).collect()]
+        elif all(self.availability().values()):
+            got = [dict(r) for r in itertools.islice(self._loaded(store, options), options.max_rows + 1)]
         else:
             raise AdapterDependencyError("rows of this dataset need the package: datasets")
         return got[: options.max_rows], len(got) > options.max_rows

@@ -1,4 +1,5 @@
 import json
+import shutil
 import struct
 
 import pytest
@@ -112,6 +113,51 @@ def test_deep_modes_with_readers(spark, tmp_path):
         A.load_dataset(hf, spark=spark, deep=True, max_rows=5000)
 
 
+def test_readers_of_installed_parsers_run_on_executors(spark, tmp_path, monkeypatch):
+    """Stand-ins of the parser packages, on the path of driver and workers."""
+    home = tmp_path / "packages"
+    write(
+        home,
+        {
+            "mcap/__init__.py": "",
+            "mcap/reader.py": "from types import SimpleNamespace as N\nclass R:\n    def __init__(self, f): self.f = f\n    def iter_messages(self):\n        for i, line in enumerate(self.f.read().decode().split()):\n            yield N(name='Image'), N(topic=line), N(log_time=i * 10**9)\ndef make_reader(f): return R(f)\n",
+            "rosbags/__init__.py": "",
+            "rosbags/highlevel.py": "from types import SimpleNamespace as N\nclass AnyReader:\n    def __init__(self, paths): self.paths = paths\n    def __enter__(self): return self\n    def __exit__(self, *a): pass\n    def messages(self):\n        for i, line in enumerate(self.paths[0].read_text().split()):\n            yield N(topic=line, msgtype='sensor_msgs/Imu'), i * 10**9, b''\n",
+            "waymo_open_dataset/__init__.py": "",
+            "waymo_open_dataset/dataset_pb2.py": "import json\nfrom types import SimpleNamespace as N\ndef obj(x): return N(**{k: obj(v) for k, v in x.items()}) if isinstance(x, dict) else [obj(y) for y in x] if isinstance(x, list) else x\nclass Frame:\n    def ParseFromString(self, raw): self.__dict__.update(obj(json.loads(raw)).__dict__)\n",
+        },
+    )
+    monkeypatch.syspath_prepend(str(home))
+    for name in ("mcap", "rosbags", "waymo_open_dataset"):
+        shutil.make_archive(str(tmp_path / name), "zip", home, name)
+        spark.sparkContext.addPyFile(str(tmp_path / f"{name}.zip"))
+    root = write(tmp_path / "m", {"one.mcap": "/mast/cam /hull/imu /mast/cam", "two.mcap": "/gps"})
+    m = A.load_dataset(root, spark=spark, deep=True)
+    assert {(r.sensor_id, r.sensor_type, r.frame_count) for r in m.sensors.collect()} == {("/mast/cam", "camera", 2), ("/hull/imu", "camera", 1), ("/gps", "camera", 1)}
+    assert {(r.sequence_id, r.frame_count, r.end_time) for r in m.sequences.collect()} == {("one", 3, 2.0), ("two", 1, 0.0)}
+    root = write(tmp_path / "r", {"metadata.yaml": LAYOUTS["rosbag"]["metadata.yaml"], "run.db3": "/hull/imu /hull/imu"})
+    assert [r.timestamp for r in A.load_dataset(root, spark=spark, deep=True).frames.orderBy("ord").collect()] == [0, 1]
+    shot = {
+        "timestamp_micros": 77_500_000, "images": [{"name": 1}], "lasers": [{"name": 4}],
+        "laser_labels": [{"id": "crate", "type": 2, "box": {"center_x": 4.0, "length": 1.5}}],
+        "context": {"camera_calibrations": [{"name": 1, "intrinsic": [410, 415, 160, 120, 0], "extrinsic": {"transform": [*range(16)]}}], "laser_calibrations": [{"name": 4, "extrinsic": {"transform": [*range(16)]}}]},
+    }
+    raw = b"".join(struct.pack("<Q", len(p)) + b"crc1" + p + b"crc2" for p in (json.dumps(shot | {"timestamp_micros": t}).encode() for t in (77_500_000, 78_500_000)))
+    m = A.load_dataset(write(tmp_path / "w", {"drive.tfrecord": raw}), spark=spark, deep=True)
+    assert [(r.sensor_id, r.timestamp) for r in m.frames.orderBy("ord").collect()] == [("camera_1", 77.5), ("camera_1", 78.5)]
+    assert {(r.annotation_type, r.category) for r in m.annotations.collect()} == {("box3d", "2")} and m.annotations.count() == 2
+    rigs = {r.sensor_id: r for r in m.calibration.collect()}
+    assert rigs["camera_1"].intrinsic == [[410, 0, 160], [0, 415, 120], [0, 0, 1]] and rigs["lidar_4"].extrinsic[3] == [12, 13, 14, 15]
+    torn = A.validate_dataset(write(tmp_path / "t", {"drive.tfrecord": raw[:-2]}), spark=spark, deep=True)
+    assert not torn.valid and "ends inside a record" in torn.errors[0]
+
+
+def test_hub_dataset_without_its_package(spark):
+    m = A.load_dataset("hf://pier/gulls", adapter="huggingface", spark=spark, split="train")
+    assert [r.sequence_id for r in m.sequences.collect()] == ["train"] and m.metadata["dependency"] == "datasets" and m.limitations
+    assert any("datasets" in e for e in A.validate_dataset("hf://pier/gulls", adapter="huggingface", spark=spark).errors)
+
+
 def test_payload_heads(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 64, 48)
     root = write(tmp_path / "n", LAYOUTS["nuscenes"] | {"v1.0-mini/samples/CAM_LEFT/dawn.jpg": png})

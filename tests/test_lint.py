@@ -112,3 +112,13 @@ def test_policy(spark, tmp_path):
     assert lint_dataset(path, {"no_such": 1}, spark=spark).issues[0].check_name == "load_config"
     assert lint_dataset(str(tmp_path / "none"), spark=spark).issues[0].check_name == "load_dataset"
     assert report.should_fail("error") and not lint_dataset(path, checks="check_yaw_range", spark=spark).should_fail("error")
+
+
+def test_groups_as_callables(spark, tmp_path):
+    from plumbline import check_label_consistency, check_sensor_synchronization
+    from plumbline.config import LintConfig
+    from plumbline.sources.bundle import load_bundle
+
+    b = load_bundle(spark, spoilt(tmp_path), LintConfig())
+    assert {i.check_name for i in check_sensor_synchronization(b)} == {f"check_{n}" for n in ("sensor_time_overlap", "timestamp_offset", "pairwise_sync_gap", "frequency_stability")} | {"check_missing_frame_bursts"}
+    assert {i.check_name for i in check_label_consistency(b)} >= {"check_track_id_consistency", "check_short_tracks"}
