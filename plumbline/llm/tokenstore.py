@@ -199,6 +199,27 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Merkle:
+    """:func:`merkle` of leaves that come one by one, holding a node a level."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []  # (height, hash), heights falling
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.nodes and self.nodes[-1][0] == height:
+            leaf, height = xxhash.xxh3_128_digest(b"\x01" + self.nodes.pop()[1] + leaf), height + 1
+        self.nodes.append((height, leaf))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return b""
+        out = self.nodes[-1][1]
+        for _, left in reversed(self.nodes[:-1]):
+            out = xxhash.xxh3_128_digest(b"\x01" + left + out)
+        return out
+
+
 def _gf2_times(matrix: list[int], vec: int) -> int:
     out, i = 0, 0
     while vec:
@@ -360,20 +381,28 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, id_c
     recipes = packed.where(F.col("address").isNull()).select("doc_id", "n_tokens", "addresses", "root")
     ranged = recipes.repartitionByRange(shuffle_partitions(spark), "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ranged.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{folder}/sorted")
+    manifest(spark, folder).write.parquet(f"{folder}/manifest")
 
 
 def recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """(start, doc_id, n_tokens, addresses, root, part), start being unique since no document is without ids."""
+    """(start, doc_id, n_tokens, addresses, root, part), start being unique since no document is without ids.
+
+    Reading fails where a part's documents or ids aren't those of the manifest.
+    """
     rows = spark.read.parquet(f"{folder}/sorted")
     before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
+    told = spark.read.parquet(f"{folder}/manifest").select("part", "documents", F.col("n_tokens").alias("tokens"))
+    same = (F.col("k") == F.col("documents")) & (F.col("n") == F.col("tokens"))
+    wrong = F.assert_true(F.coalesce(same, F.lit(False)), F.concat(F.lit("the manifest doesn't hold for part "), F.col("part").cast("string")))
+    parts = parts.join(told, "part", "full").where(wrong.isNull()).select("part", F.coalesce(before, F.lit(0)).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.select("*", (inside - F.col("n_tokens")).alias("inside")).join(parts, "part")
     return placed.select((F.col("base") + F.col("inside")).alias("start"), "doc_id", "n_tokens", "addresses", "root", "part")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, documents, n_tokens, root): the root is over the documents' roots in order."""
+    """(part, documents, n_tokens, root) as the recipes have it: the root is the Merkle root over the documents' roots in order."""
 
     def run(batches):
         state = None
@@ -382,20 +411,25 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
                 if state is None or state[0] != part:
                     if state is not None:
                         yield _manifest_row(state)
-                    state = [part, 0, 0, xxhash.xxh3_128()]
+                    state = [part, 0, 0, Merkle()]
                 state[1] += 1
                 state[2] += n
-                state[3].update(root)
+                state[3].add(root)
         if state is not None:
             yield _manifest_row(state)
 
-    rows = spark.read.parquet(f"{folder}/sorted").repartition("part").sortWithinPartitions("part", "doc_id", "root")
+    rows = spark.read.parquet(f"{folder}/sorted").select("part", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "doc_id", "root")
     return rows.select("part", "n_tokens", "root").mapInArrow(run, "part int, documents bigint, n_tokens bigint, root binary")
 
 
 def _manifest_row(state) -> pa.RecordBatch:
-    part, docs, n, digest = state
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([n], pa.int64()), pa.array([digest.digest()], pa.binary())], names=["part", "documents", "n_tokens", "root"])
+    part, docs, n, tree = state
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([n], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "documents", "n_tokens", "root"])
+
+
+def verify(spark: SparkSession, folder: str) -> bool:
+    """Whether the recipes still have the Merkle roots that the manifest states."""
+    return spark.read.parquet(f"{folder}/manifest").exceptAll(manifest(spark, folder)).isEmpty()
 
 
 def _read_packs(folder: str, pack: str):

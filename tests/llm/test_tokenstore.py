@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from plumbline.llm import tokenstore as ts
 from plumbline.llm.common import scratch
@@ -77,3 +78,25 @@ def test_pieces_encode_like_whole_texts():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
     for text, ids in zip(texts, enc.batch(texts)):
         assert np.frombuffer(ids, enc.kind).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_merkle_of_a_stream_is_that_of_a_list():
+    leaves = [bytes([i]) * 16 for i in range(40)]
+    for n in range(40):
+        tree = ts.Merkle()
+        for leaf in leaves[:n]:
+            tree.add(leaf)
+        assert tree.root() == (ts.merkle(leaves[:n]) if n else b"")
+
+
+def test_a_lost_or_changed_recipe_is_noticed(spark):
+    folder, wide = scratch(spark, "store"), ts.encoder(ts.default_tokenizer()).wide
+    ts.write_store(spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id bigint, text string"), folder)
+    assert ts.verify(spark, folder) and ts.read_store(spark, folder, wide).count() == 20
+    rows = spark.read.parquet(f"{folder}/sorted")
+    other = scratch(spark, "store")
+    for name, df in (("packed", spark.read.parquet(f"{folder}/packed")), ("manifest", spark.read.parquet(f"{folder}/manifest")), ("sorted", rows.where("doc_id <> 7"))):
+        df.write.parquet(f"{other}/{name}")
+    assert not ts.verify(spark, other)
+    with pytest.raises(Exception, match="manifest doesn't hold"):
+        ts.recipes(spark, other).collect()
