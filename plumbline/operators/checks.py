@@ -119,7 +119,7 @@ def check_broken_paths(b, c):
         used = df.select("file", "row", X.text_or_null("path").alias("path")).where("path IS NOT NULL")
         # a column of numbers holds no paths
         texts = used.where(X.num("path").isNull()).select("file").distinct()
-        used = used.join(F.broadcast(texts), "file", "left_semi").withColumn("__p", F.regexp_replace(F.regexp_replace("path", r"^(\./)+", ""), r"/+$", ""))
+        used = used.join(texts, "file", "left_semi").withColumn("__p", F.regexp_replace(F.regexp_replace("path", r"^(\./)+", ""), r"/+$", ""))
         lost = K.broken_links(used, "__p", b.index, "rel_path", guarded=False).where("__p NOT IN ('', '.')")
         out.append(findings(lost, c, {"path": F.col("path")}, message=F.concat(F.lit("No file at referenced path "), F.col("path"), F.lit("."))))
     return out

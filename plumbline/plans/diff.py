@@ -119,5 +119,7 @@ def compare_datasets(old: str, new: str, config=None, spark: SparkSession | None
     counts = [{c: sum(i.check_name == c for i in found) for c in WATCHED} for found in issues]
     documents = {n: tuple(getattr(b, n) for b in bundles) for n in ("metadata", "calibration")}
     compare_stats(report, *stats, cfg, documents, counts)
+    for b in bundles:
+        b.release()
     report.summary = {"changes": len(report.changes), "regressions": len(report.regressions), "improvements": len(report.improvements)}
     return report

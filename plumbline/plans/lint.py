@@ -128,4 +128,5 @@ def lint_dataset(path: str, config=None, checks=None, adapter=None, spark: Spark
         "sensors": sorted(f.removeprefix("sensors/").removesuffix(".csv") for f in bundle.headers["sensors"]),
         "modalities": [m for m in ("sensors", "labels", "trajectories") if bundle.headers[m]] + (["calibration"] if bundle.calibration is not None else []),
     }
+    bundle.release()
     return LintReport(path, issues, stats, counts["error"] == 0, dataset_summary=summary, checks_run=names, adapter={"name": "folder"}, config=cfg.to_dict(), dataset_fingerprint=bundle.store.digest())

@@ -100,6 +100,9 @@ def bundle_stats(b: Bundle, issues=None) -> DatasetStats:
 
 
 def compute_dataset_stats(path: str, config=None, spark: SparkSession | None = None) -> DatasetStats:
-    return bundle_stats(load_bundle(spark or session(), path, load_config(config, path)))
+    bundle = load_bundle(spark or session(), path, load_config(config, path))
+    stats = bundle_stats(bundle)
+    bundle.release()
+    return stats
 
 

@@ -37,6 +37,7 @@ class Bundle:
     all_files: dict[str, list[str]] = field(default_factory=dict)  # also those that couldn't be read
     frames: dict[str, DataFrame | None] = field(default_factory=dict)
     load_findings: list[dict] = field(default_factory=list)
+    cached: list[DataFrame] = field(default_factory=list)
 
     @property
     def declared_sensors(self) -> list[str]:
@@ -55,7 +56,13 @@ class Bundle:
         df, files = self.frames.get(modality), self.files_with(modality, *columns)
         if df is None or not files:
             return None
-        return df.where(F.col("file").isin(*files))
+        return df if len(files) == len(self.headers[modality]) else df.where(F.col("file").isin(*files))
+
+    def release(self) -> None:
+        """Give back what reading the files has cached."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
 
 
 def _header(store: Store, e: Entry) -> list[str] | None:
@@ -109,6 +116,7 @@ def _load_modality(b: Bundle, modality: str) -> None:
     frames = []
     for header, group in groups.items():
         df = _read(b.spark, b.store, modality, group, list(header)).cache()
+        b.cached.append(df)
         # a row with more fields than the header can't be placed: its file is out
         fields = F.size(F.split("__bad", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
         bad = {r.file for r in df.where(F.col("__bad").isNotNull() & (fields > len(header))).select("file").distinct().collect()}
