@@ -38,3 +38,30 @@ def test_run_is_its_stages_in_order(spark, tmp_path):
     out = corpus_pipeline.run(spark, path).collect()
     assert {r.doc_id for r in out} == mixed and len(out) == df.count()
     assert toxicity.THRESHOLD == 0.3
+
+
+def tables(spark, path, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, doc int, __mix string, __score double").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, str(tmp_path / "sf"), [], [], [])).collect() == []
+
+
+def test_run_with_long_null_and_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long = text(60_000)
+    docs = [(1, long, "en", "a"), (2, long + " more", "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, text(50), "en", "b"), (5, text(50), "en", "b"), (None, text(20), "en", "b"), (6, text(90), None, "b")]
+    path = tables(spark, str(tmp_path / "sf"), [(*d, 0, 7, "own", 0.5) for d in docs], [(5, 1, 0), (6, 1, 0)], [(None, None), (1, text(20))])
+    df = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, df, path)
+        assert after.columns == df.columns
+        df = spark.createDataFrame(after.collect(), df.schema)
+    kept = {r.doc_id for r in df.collect()}
+    assert 1 in kept and 2 not in kept and all((r.doc, r["__mix"], r["__score"]) == (7, "own", 0.5) for r in df.collect())
+    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == kept
