@@ -178,3 +178,22 @@ def text_bytes(text: str | None) -> bytes:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_worker() -> None:
+    """Give back what a Python worker still holds for the token store: its piece cache serves that operator alone."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    store = sys.modules.get("plumbline.llm.tokenstore")
+    if store is not None and store.encoder.cache_info().currsize:
+        store.encoder.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it trims by itself or not at all

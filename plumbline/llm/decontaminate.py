@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Held, table, written
+from plumbline.llm.common import Held, free_worker, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _find_words = re.compile(WORD).findall
@@ -139,6 +139,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, b
 
 def _searcher(tables, text_at: int):
     def run(batches):
+        free_worker()
         find = tables.value
         for batch in batches:
             n_words, spans, items = [], [], []

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Held, drop_path, only_ids, shared_dir, shuffle_partitions, table, text_bytes, without_ids, written, written_at
+from plumbline.llm.common import Held, drop_path, free_worker, only_ids, shared_dir, shuffle_partitions, table, text_bytes, without_ids, written, written_at
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GOLAY = 0b110001110101
@@ -311,7 +311,8 @@ def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches):
-        for batch in batches:
+        free_worker()
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             h = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
@@ -336,25 +337,61 @@ def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
     return hashes[:take]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' low bits, at least one a shingle: whether an odd number of shingles has it."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number that two sets, given their parities, differ in at least."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _near(batches):
+    """(a, b, sum of their sizes, parities) -> the pairs that may reach the similarity: at most a ninth of that sum may differ."""
+    for batch in batches:
+        rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+        keep = pa.array([9 * least_difference(x, y) <= n for n, x, y in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) of nodes those whose parities, some bits a shingle, don't rule the similarity out."""
+    a, b = (nodes.select(F.col("doc").alias(c), F.col("size").alias(f"{c}_n"), F.col("parity").alias(f"{c}_bits")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "a_bits", "b_bits")
+    return both.mapInArrow(_near, "a bigint, b bigint")
+
+
 def _stage_prints(common):
     def run(batches):
-        for batch in batches:
-            sizes, whole, samples, prefix = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text)
-                sizes.append(len(h))
-                whole.append(xxhash.xxh3_128_digest(h.tobytes()))
-                samples.append(_sampled(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-                prefix.append(_prefix(h, common.value).view(np.int64))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(samples, longs), pa.array(prefix, longs)], names=["doc", "size", "whole", "samples", "prefix"])
+        free_worker()
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, 1024):
+                batch = whole_batch.slice(start, 1024)
+                sizes, whole, samples, prefix, bits = [], [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    h = shingle_hashes(text)
+                    sizes.append(len(h))
+                    whole.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    samples.append(_sampled(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                    prefix.append(_prefix(h, common.value).view(np.int64))
+                    bits.append(parity(h))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(samples, longs), pa.array(prefix, longs), pa.array(bits, pa.binary())], names=["doc", "size", "whole", "samples", "prefix", "parity"])
 
     return run
 
 
 def _verify(batches):
     """(a, b, text of a, text of b) -> the pairs that reach the similarity on exact shingle sets."""
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         keep = []
         for x, y in ((batch.column(2)[i].as_py(), batch.column(3)[i].as_py()) for i in range(batch.num_rows)):
             p, q = shingle_hashes(x), shingle_hashes(y)
@@ -506,7 +543,7 @@ def _rest(nodes: DataFrame, joined: DataFrame, slim: DataFrame, cold: int = COLD
     """
     spark = nodes.sparkSession
     shared = _shared(nodes, joined)
-    found = _verified(_promising(shared.where(F.col("k") <= cold).select("token", "doc", "component", "size", "at")), slim)
+    found = _verified(_alike(_promising(shared.where(F.col("k") <= cold).select("token", "doc", "component", "size", "at")), nodes), slim)
     many = shared.where(F.col("k") > cold)
     if many.isEmpty():
         return found
@@ -548,15 +585,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _grouped(slim: DataFrame, **limits) -> DataFrame:
     common = slim.sparkSession.sparkContext.broadcast(_common(slim))
-    prints = written(slim.mapInArrow(_stage_prints(common), "doc bigint, size bigint, whole binary, samples array<bigint>, prefix array<bigint>"), "near-prints")
+    prints = written(slim.mapInArrow(_stage_prints(common), "doc bigint, size bigint, whole binary, samples array<bigint>, prefix array<bigint>, parity binary"), "near-prints")
     least = prints.groupBy("whole").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     copies = written(prints.select("doc", "whole").join(least, "whole").where("doc <> rep").select("doc", "rep"), "near-copies")
-    nodes = without_ids(prints.select("doc", "size", "samples", "prefix"), "doc", copies)
+    nodes = without_ids(prints.select("doc", "size", "samples", "prefix", "parity"), "doc", copies)
     buckets = nodes.select(F.posexplode("samples").alias("nth", "print"), "doc", "size")
     first = buckets.groupBy("nth", "print").agg(F.min(F.struct("doc", "size")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("nth", "print", F.col("f.doc").alias("a"), F.col("f.size").alias("a_size"))
     close = F.least("a_size", "size") >= STAGE_SIMILARITY * F.greatest("a_size", "size")
     pairs = buckets.join(first, ["nth", "print"]).where((F.col("doc") != F.col("a")) & close).select("a", F.col("doc").alias("b"))
-    joined = components(_verified(pairs.distinct(), slim))
+    joined = components(_verified(_alike(pairs.distinct(), nodes), slim))
     links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest(nodes, joined, slim, **limits))
     ends = components(links)
     named = prints.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))

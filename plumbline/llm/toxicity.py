@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import Held, table
+from plumbline.llm.common import Held, free_worker, table
 
 _tokens = re.compile(r"[^\W_]+").findall
 _spans = re.compile(r"[^\W_]+").finditer
@@ -377,6 +377,7 @@ def _tagged(docs: DataFrame, text_col: str, model: SpanTagger, spans: bool, thre
     limit = np.log(threshold / (1 - threshold))
 
     def run(batches):
+        free_worker()
         field_, vocabulary = shared.value, Vocabulary(shared.value.weights)
         for batch in batches:
             texts = batch.column(at).to_pylist()

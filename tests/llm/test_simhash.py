@@ -230,3 +230,16 @@ def test_stage_with_clashing_columns(spark):
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns and len(kept.collect()) in (2, 3)
     assert {tuple(r) for r in kept.collect()} >= {(1, "a b c d", 7, 1, "p"), (3, "x y z q w", 9, 4, "s")}
+
+
+def test_parities_never_rule_a_similar_pair_out():
+    rng = np.random.default_rng(7)
+    ruled = 0
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**64, rng.integers(1, 700), dtype=np.uint64))
+        keep = x[rng.random(len(x)) < rng.choice([0.5, 0.85, 0.95])]
+        y = np.unique(np.r_[keep, rng.integers(0, 2**64, rng.integers(0, 40), dtype=np.uint64)])
+        bound = simhash.least_difference(simhash.parity(x), simhash.parity(y))
+        assert bound <= len(np.setxor1d(x, y))
+        ruled += 9 * bound > len(x) + len(y)
+    assert ruled > 100
