@@ -180,8 +180,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_worker() -> None:
-    """Give back what a Python worker still holds for the token store: its piece cache serves that operator alone."""
+def free_worker(store_too: bool = True) -> None:
+    """Give back what a Python worker still holds of earlier tasks, and the token store's piece cache, which serves that operator alone."""
     import ctypes
     import gc
     import sys
@@ -189,7 +189,7 @@ def free_worker() -> None:
     import pyarrow as pa
 
     store = sys.modules.get("plumbline.llm.tokenstore")
-    if store is not None and store.encoder.cache_info().currsize:
+    if store_too and store is not None and store.encoder.cache_info().currsize:
         store.encoder.cache_clear()
         gc.collect()
     pa.default_memory_pool().release_unused()

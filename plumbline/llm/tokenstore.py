@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import commit_file, filesystem, scratch, shuffle_partitions, table
+from plumbline.llm.common import commit_file, filesystem, free_worker, scratch, shuffle_partitions, table
 
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
@@ -267,6 +267,7 @@ def _encode(path: str):
     """(doc_id, text) -> a recipe row a document, and a chunk row for each chunk that this task sees first."""
 
     def run(batches):
+        free_worker(store_too=False)
         enc = encoder(path)
         width = 4 if enc.wide else 2
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
