@@ -48,18 +48,20 @@ N_BITS, CHECK_BITS = 23, 11
 THRESHOLD = 2
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash over word shingles, repeats included."""
+def _hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of a text in order, repeats included; of fewer words the whole."""
     words = text_bytes(text).lower().split()  # of bytes: ASCII white space and A-Z only
-    if not words:
-        return 0
+    h = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1][: len(words) - shingle + 1].tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([h(joined, seed)] if words else [], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends)]
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, len(words) - shingle + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of hashes: the bits set in over half of them."""
     counts = np.zeros(64, np.int64)
     for block in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[block : block + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -67,6 +69,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash over word shingles, repeats included."""
+    return _majority(_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc, fp) of each row; fp as a signed bigint with the same bits."""
 
@@ -86,11 +93,16 @@ def _tables() -> tuple[np.ndarray, list[np.ndarray]]:
     syndrome s, padded with -1: word xor pattern is then a code word, that is
     an anchor within 3 + d.
     """
-    syndrome = np.arange(1 << N_BITS, dtype=np.int32)
-    for bit in range(N_BITS - 1, CHECK_BITS - 1, -1):
-        high = (syndrome >> bit) & 1
-        syndrome ^= high * np.int32(GOLAY << (bit - CHECK_BITS))
-    weight = np.bitwise_count(np.arange(1 << N_BITS, dtype=np.uint32))
+    syndrome = np.zeros(1 << N_BITS, np.int16)
+    for bit in range(N_BITS):  # linear: that of a word is that of its highest bit xor that of the rest
+        of_bit = 1 << bit
+        for high in range(bit, CHECK_BITS - 1, -1):
+            if of_bit >> high & 1:
+                of_bit ^= GOLAY << (high - CHECK_BITS)
+        syndrome[1 << bit : 2 << bit] = syndrome[: 1 << bit] ^ np.int16(of_bit)
+    weight = np.zeros(1 << N_BITS, np.uint8)
+    for bit in range(N_BITS):
+        weight[1 << bit : 2 << bit] = weight[: 1 << bit] + 1
     near = []
     for d in range(THRESHOLD + 1):
         words = np.flatnonzero(weight <= 3 + d)
@@ -101,7 +113,7 @@ def _tables() -> tuple[np.ndarray, list[np.ndarray]]:
         made = np.full((1 << CHECK_BITS, rank.max() + 1), -1, np.int32)
         made[s, rank] = order
         near.append(made)
-    return syndrome.astype(np.int16), near
+    return syndrome, near
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,30 +286,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The pipeline stage: words a shingle, least similarity, sampled fingerprints and shingles in each.
-STAGE_SHINGLE, STAGE_SIMILARITY, SAMPLES, SAMPLED = 5, 0.8, 8, 3
+#: The pipeline stage: words a shingle, least similarity.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 
 
 def shingle_hashes(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     """Distinct hashes of the word shingles of a text, sorted; of fewer words the whole."""
-    words = text_bytes(text).lower().split()
-    h = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([h(b" ".join(words), 42)] if words else [], np.uint64)
-    joined = b" ".join(words)
-    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, len(words) - shingle + 1))
-
-
-def _sampled(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of each sample of shingles: those first in one of several hash orders."""
-    odd = (np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    keyed = (hashes[None, :] ^ (hashes[None, :] >> np.uint64(29))) * odd[:, None]
-    k = min(SAMPLED, len(hashes))
-    first = np.argpartition(keyed, k - 1, axis=1)[:, :k]
-    bits = np.unpackbits(hashes[first].view(np.uint8).reshape(SAMPLES, k, 8), axis=2, bitorder="little")
-    return np.packbits(2 * bits.sum(1) > k, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    return np.unique(_hashes(text, shingle))
 
 
 #: One document in so many is looked at for common shingles; how many of them are taken; members of a shared shingle up to which pairs are written; shingles of a slice's homes beyond.
@@ -363,9 +358,10 @@ def _near(batches):
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of nodes those whose parities, some bits a shingle, don't rule the similarity out."""
+    """Of distinct pairs (a, b) of nodes those whose sizes and parities, some bits a shingle, don't rule the similarity out."""
     a, b = (nodes.select(F.col("doc").alias(c), F.col("size").alias(f"{c}_n"), F.col("parity").alias(f"{c}_bits")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "a_bits", "b_bits")
+    both = pairs.join(a, "a").join(b, "b").where(5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
+    both = both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "a_bits", "b_bits")
     return both.mapInArrow(_near, "a bigint, b bigint")
 
 
@@ -375,16 +371,17 @@ def _stage_prints(common):
         for whole_batch in batches:
             for start in range(0, whole_batch.num_rows, 1024):
                 batch = whole_batch.slice(start, 1024)
-                sizes, whole, samples, prefix, bits = [], [], [], [], []
+                sizes, whole, fps, prefix, bits = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
-                    h = shingle_hashes(text)
+                    every = _hashes(text, STAGE_SHINGLE)
+                    h = np.unique(every)
                     sizes.append(len(h))
                     whole.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    samples.append(_sampled(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                    fps.append(_majority(every))
                     prefix.append(_prefix(h, common.value).view(np.int64))
                     bits.append(parity(h))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(samples, longs), pa.array(prefix, longs), pa.array(bits, pa.binary())], names=["doc", "size", "whole", "samples", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, longs), pa.array(bits, pa.binary())], names=["doc", "size", "whole", "fp", "prefix", "parity"])
 
     return run
 
@@ -574,26 +571,33 @@ def _one_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """(doc, component): groups of documents linked by a similarity of 0.8 or more of their sets of five-word shingles, no link left out.
 
-    Equal shingle sets collapse first.  Documents with an equal SimHash of a
-    sample of their shingles are then paired with the smallest of them only and
-    verified on the exact sets, which joins most copies at a cost that grows
-    with the documents.  What that leaves apart is searched exactly: see
-    :func:`_rest`.  Of an id with several texts the one that the stage keeps counts.
+    Equal shingle sets collapse first.  SimHashes of all shingles are then linked
+    at their anchors, as in :func:`near_duplicates`, and the linked documents are
+    verified on the exact sets.  As the threshold of 2 bits, and the forests that
+    :func:`links` keeps, don't hold all pairs of the similarity, what is left
+    apart is searched exactly: see :func:`_rest`.  Of an id with several texts
+    the one that the stage keeps counts.
     """
     return _grouped(_one_text(docs, id_col, text_col)[0], **limits)
 
 
+def _linked(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (doc, fp): equal fingerprints with the smallest id that has them, and those that meet at anchors."""
+    least, path = written_at(nodes.groupBy("fp").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("k")), "near-fingerprints")
+    shared = least.where("k > 1").select("fp", F.col("node").alias("a"))
+    equal = nodes.select("fp", F.col("doc").alias("b")).join(shared, "fp").where("a <> b").select("a", "b")
+    out = written(equal.unionByName(links(least.select("node", "fp"))), "near-linked")
+    drop_path(nodes.sparkSession, path)
+    return out
+
+
 def _grouped(slim: DataFrame, **limits) -> DataFrame:
     common = slim.sparkSession.sparkContext.broadcast(_common(slim))
-    prints = written(slim.mapInArrow(_stage_prints(common), "doc bigint, size bigint, whole binary, samples array<bigint>, prefix array<bigint>, parity binary"), "near-prints")
+    prints = written(slim.mapInArrow(_stage_prints(common), "doc bigint, size bigint, whole binary, fp bigint, prefix array<bigint>, parity binary"), "near-prints")
     least = prints.groupBy("whole").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     copies = written(prints.select("doc", "whole").join(least, "whole").where("doc <> rep").select("doc", "rep"), "near-copies")
-    nodes = without_ids(prints.select("doc", "size", "samples", "prefix", "parity"), "doc", copies)
-    buckets = nodes.select(F.posexplode("samples").alias("nth", "print"), "doc", "size")
-    first = buckets.groupBy("nth", "print").agg(F.min(F.struct("doc", "size")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("nth", "print", F.col("f.doc").alias("a"), F.col("f.size").alias("a_size"))
-    close = F.least("a_size", "size") >= STAGE_SIMILARITY * F.greatest("a_size", "size")
-    pairs = buckets.join(first, ["nth", "print"]).where((F.col("doc") != F.col("a")) & close).select("a", F.col("doc").alias("b"))
-    joined = components(_verified(_alike(pairs.distinct(), nodes), slim))
+    nodes = without_ids(prints.select("doc", "size", "fp", "prefix", "parity"), "doc", copies)
+    joined = components(_verified(_alike(_linked(nodes.where("size > 0").select("doc", "fp")), nodes), slim))
     links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest(nodes, joined, slim, **limits))
     ends = components(links)
     named = prints.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))

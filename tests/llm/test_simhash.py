@@ -161,6 +161,28 @@ def groups(spark, docs, **limits):
     return {r.doc: r.component for r in found.collect()}
 
 
+def test_stage_links_simhashes_of_all_shingles_at_their_anchors(spark, monkeypatch):
+    """Without the exact search that follows: the pairs of 2 or fewer differing bits that verify, and no others."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs = []
+    for i in range(120):
+        own = [word() for _ in range(rng.choice([60, 300, 900]))]
+        other = own[:]
+        for _ in range(1 + i % 3):
+            other[rng.randrange(len(other))] = word()
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    prints = {i: simhash.fingerprint(t, simhash.STAGE_SHINGLE) for i, t in docs}
+    alike = plain_groups(docs)
+    apart = {i: (prints[i] ^ prints[i + 1]).bit_count() for i in range(0, len(docs), 2) if alike[i + 1] == i}
+    assert any(n == 0 for n in apart.values()) and any(0 < n <= 2 for n in apart.values()) and any(n > 2 for n in apart.values())
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(simhash, "_rest", lambda *_, **__: empty)
+    assert groups(spark, docs) == {i: i - 1 if i % 2 and apart.get(i - 1, 64) <= 2 else i for i, _ in docs}
+    monkeypatch.undo()
+    assert groups(spark, docs) == alike
+
+
 def test_stage_finds_pairs_whose_leader_is_another(spark):
     docs = passage_docs()
     want = plain_groups(docs)
