@@ -180,15 +180,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the rows that go to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that executors hold outside the heap for a Python worker, for what runs from now on; a smaller bound stays.
+
+    Spark's own bound of 64 MB takes a whole file split of texts at once, on
+    both sides and in both directions.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def free_worker(store_too: bool = True) -> None:
-    """Give back what a Python worker still holds of earlier tasks, and the token store's piece cache, which serves that operator alone."""
+    """Give back what a Python worker still holds of earlier tasks: tables of the anchors, and the token store's piece cache, which serves that operator alone."""
     import ctypes
     import gc
     import sys
 
     import pyarrow as pa
 
-    store = sys.modules.get("plumbline.llm.tokenstore")
+    simhash, store = (sys.modules.get(f"plumbline.llm.{name}") for name in ("simhash", "tokenstore"))
+    if simhash is not None:
+        simhash._tables.cache_clear()
     if store_too and store is not None and store.encoder.cache_info().currsize:
         store.encoder.cache_clear()
         gc.collect()

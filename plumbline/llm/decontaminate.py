@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Held, free_worker, table, written
+from plumbline.llm.common import Held, free_worker, small_batches, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _find_words = re.compile(WORD).findall
@@ -231,6 +231,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with any occurrence go, also where it is a small part of a long text."""
+    small_batches(spark)
     held = Held(docs)
     return held.back(_judged(held, table(spark, sf_dir, "benchmark")).where(F.col("__n_hit") == 0))
 

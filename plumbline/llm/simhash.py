@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Held, drop_path, free_worker, only_ids, shared_dir, shuffle_partitions, table, text_bytes, without_ids, written, written_at
+from plumbline.llm.common import Held, drop_path, free_worker, only_ids, shared_dir, shuffle_partitions, small_batches, table, text_bytes, without_ids, written, written_at
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GOLAY = 0b110001110101
@@ -607,6 +607,7 @@ def _grouped(slim: DataFrame, **limits) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of similar documents the one with the smallest id stays; rows without an id stay."""
     shared_dir(spark)
+    small_batches(spark)
     held = Held(docs)
     ident, text = held["doc_id"], held["text"]
     slim, again = _one_text(held.df, ident, text)

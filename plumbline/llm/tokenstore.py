@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import commit_file, filesystem, free_worker, scratch, shuffle_partitions, table
+from plumbline.llm.common import commit_file, filesystem, free_worker, scratch, shuffle_partitions, small_batches, table
 
 END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
@@ -492,6 +492,7 @@ def read_store(spark: SparkSession, folder: str, wide: bool = False) -> DataFram
 
 def store_and_read(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch(spark, "token-store")
     write_store(docs, folder)
     return read_store(spark, folder, encoder(default_tokenizer()).wide)

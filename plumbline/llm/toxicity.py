@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import Held, free_worker, table
+from plumbline.llm.common import Held, free_worker, small_batches, table
 
 _tokens = re.compile(r"[^\W_]+").findall
 _spans = re.compile(r"[^\W_]+").finditer
@@ -423,5 +423,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
+    small_batches(spark)
     model, held = fitted(docs, table(spark, sf_dir, "labels")), Held(docs)
     return held.back(_tagged(held.df, held["text"], model, False).where(F.col("__score") < THRESHOLD))

@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 
 from plumbline.llm import toxicity
+from plumbline.llm.common import small_batches
 
 
 def test_run_is_its_stages_in_order(spark, tmp_path):
@@ -65,3 +67,21 @@ def test_run_with_long_null_and_repeated_rows_and_clashing_columns(spark, tmp_pa
     kept = {r.doc_id for r in df.collect()}
     assert 1 in kept and 2 not in kept and all((r.doc, r["__mix"], r["__score"]) == (7, "own", 0.5) for r in df.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == kept
+
+
+def test_stages_hand_workers_rows_of_bounded_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(200, numPartitions=1).selectExpr("id AS doc_id", "repeat(cast(id % 10 AS string), 200000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    for name in ("simhash near-dedup", "token store"):
+        spark.conf.unset(key)
+        dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string"), "")
+        assert texts.mapInArrow(sizes, "n bigint").agg({"n": "max"}).first()[0] < 6e6
+    spark.conf.set(key, "1m")
+    small_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
