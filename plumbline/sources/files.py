@@ -78,6 +78,8 @@ class Store:
         return out
 
     def _remote(self) -> list[Entry]:
+        if self.root.startswith("hf://"):
+            return []  # the name of a hub dataset, which its package reads; Spark has no such store
         jvm = self.spark._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.root)
         fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
