@@ -41,7 +41,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +56,10 @@ END_ID = 2
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 128, 8192
 PACK_BYTES = 32 << 20
 CACHE_PIECES = 300_000
+#: Pieces that are encoded in one call; ids whose rolling hash is taken at once.
+BLOCK_PIECES, HASHED = 2000, 1 << 18
+#: Documents whose pieces are looked up at once.
+DOCS = 512
 
 #: Cut mark, and where a letter (of ASCII or Latin-1) meets an ASCII mark or digit other than the apostrophe.
 _CUT = "\x01"
@@ -83,18 +86,19 @@ def _tokenizer(path: str):
 class Encoder:
     """Text -> little-endian ids as bytes (16 bits each, 32 where the vocabulary needs it), through a bounded cache.
 
-    The cache has two generations of at most ``CACHE_PIECES``: pieces that are
-    asked for again move to the young one, the others go with the old one.
+    The cache is an Arrow array of pieces with their ids in one buffer, some 30
+    bytes a piece.  Beyond ``CACHE_PIECES`` the half that was asked for last stays.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = "|".join([_UNCUT, *special])
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
+        self.known = pa.array([], pa.string())
+        self.ids, self.sizes, self.asked = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.batches = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -108,41 +112,60 @@ class Encoder:
             marked = pc.replace_substring(marked, c, _CUT + c)
         pieces = pc.split_pattern(marked, _CUT)
         coded = pieces.flatten().dictionary_encode()
-        ids, sizes = self._ids(coded.dictionary.to_pylist())
+        ids, sizes, starts = self._ids(coded.dictionary)
         # ids of all pieces in order: each piece is a run in the ids of the different pieces
         at = coded.indices.to_numpy(zero_copy_only=False)
         lengths = sizes[at]
         ends = np.cumsum(lengths)
-        starts = (np.cumsum(sizes) - sizes)[at]
         total = int(ends[-1]) if len(ends) else 0
         kind = np.int32 if max(total, len(ids)) < 2**31 else np.int64
-        place = np.repeat((starts - ends + lengths).astype(kind), lengths)
+        place = np.repeat((starts[at] - ends + lengths).astype(kind), lengths)
         place += np.arange(total, dtype=kind)
         flat = ids[place].tobytes()
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))]] * ids.itemsize
         cut = iter([flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
         return [self._whole(texts[i].as_py()) if w else next(cut) for i, w in enumerate(whole.tolist())]
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after the other, and their numbers."""
-        if len(self.young) > CACHE_PIECES:
-            self.young, self.old = {"": b""}, self.young
-        cache, old = self.young, self.old
-        found = list(map(cache.get, pieces))
-        holes = []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            if (x := old.get(pieces[i])) is None:
-                holes.append(i)
-            else:
-                found[i] = cache[pieces[i]] = x
-        code = "I" if self.wide else "H"
-        for at in range(0, len(holes), 20_000):
-            block = holes[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch([pieces[i] for i in block], add_special_tokens=False)
-            for i, e in zip(block, encoded, strict=True):
-                found[i] = cache[pieces[i]] = array(code, e.ids).tobytes()
-        raw = np.frombuffer(b"".join(found), self.kind)
-        return raw, np.fromiter(map(len, found), np.int64, len(found)) // raw.itemsize
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A buffer of ids, and where in it those of each of the different pieces are: their number and the first one's place."""
+        self.batches += 1
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        at = pc.index_in(pieces, self.known)
+        new = pieces.filter(at.is_null())
+        ids, sizes = self._encoded(new.to_pylist())
+        at = at.to_numpy(zero_copy_only=False)
+        hole = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        place = np.empty(len(at), np.int64)
+        place[~hole] = at[~hole]
+        place[hole] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.asked = np.concatenate([self.asked, np.zeros(len(new), np.int32)])
+        self.asked[place] = self.batches
+        return self.ids, self.sizes[place].astype(np.int64), (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[place]
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.asked, kind="stable")[: CACHE_PIECES // 2])
+        kept = np.zeros(len(self.known), bool)
+        kept[keep] = True
+        self.known = self.known.take(pa.array(keep))
+        self.ids = self.ids[np.repeat(kept, self.sizes)]
+        self.sizes, self.asked = self.sizes[keep], self.asked[keep]
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and their numbers.
+
+        A block of pieces goes as words of one sequence, which the tokenizer
+        splits and merges one by one, as it would texts of their own.
+        """
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int32)]
+        for at in range(0, len(pieces), BLOCK_PIECES):
+            block = pieces[at : at + BLOCK_PIECES]
+            coded = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(coded.ids, self.kind))
+            sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(block)).astype(np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 @functools.cache
@@ -158,15 +181,20 @@ def _gear(n: int = 1 << 16) -> np.ndarray:
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash allows a cut, over a batch of streams."""
-    gear = _gear()
-    h = gear[ids & 0xFFFF]
-    width = 1
-    while width < WINDOW:
-        shifted = np.zeros_like(h)
-        shifted[width:] = h[:-width]
-        h = h + (shifted << np.uint64(width))
-        width *= 2
-    return np.flatnonzero((h >> np.uint64(63 - MASK_BITS)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+    gear, out = _gear(), [np.zeros(0, np.int64)]
+    for at in range(0, len(ids), HASHED):
+        begin = max(0, at - WINDOW + 1)  # so that whole windows end at the part's ids
+        h = gear[ids[begin : at + HASHED] & 0xFFFF]
+        width = 1
+        while width < WINDOW:
+            shifted = np.zeros_like(h)
+            shifted[width:] = h[:-width]
+            shifted <<= np.uint64(width)
+            h += shifted
+            width *= 2
+        h = h[at - begin :]
+        out.append(np.flatnonzero((h >> np.uint64(63 - MASK_BITS)) & np.uint64((1 << MASK_BITS) - 1) == 0) + at + 1)
+    return np.concatenate(out)
 
 
 def chunk_ends(cuts: np.ndarray, start: int, end: int) -> list[int]:
@@ -275,13 +303,13 @@ def _encode(path: str):
         end_id = np.array([END_ID], enc.kind).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 1024):
-                streams = [s + end_id for s in enc.batch(texts.slice(at, 1024))]
+            for at in range(0, len(doc_ids), DOCS):
+                streams = [s + end_id for s in enc.batch(texts.slice(at, DOCS))]
                 raw = b"".join(streams)
                 cuts = cut_points(np.frombuffer(raw, enc.kind))
                 chunks, payloads, recipes = [], [], []
                 start = 0
-                for doc, s in zip(doc_ids[at : at + 1024], streams, strict=True):
+                for doc, s in zip(doc_ids[at : at + DOCS], streams, strict=True):
                     end = start + len(s) // width
                     own, begin = [], start
                     for stop in chunk_ends(cuts, start, end):
@@ -323,6 +351,7 @@ def _pack(folder: str):
     def run(batches):
         from pyspark import TaskContext
 
+        free_worker()  # the encoder is done with
         fs, base = filesystem(folder)
         part = TaskContext.get().partitionId()
         last, n, at, sink, temp, name = None, 0, 0, None, "", ""

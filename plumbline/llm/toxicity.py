@@ -247,20 +247,37 @@ def label_tokens(texts: list[str | None], toxic: np.ndarray, least: int = 3, odd
     return np.fromiter((bool(y) and not hot.isdisjoint(marks(w)) for text, y in zip(texts, toxic, strict=True) for w in lower(text)), bool)
 
 
+def _summed(size: int, at: np.ndarray, values, block: int = 1 << 18) -> np.ndarray:
+    """``np.bincount(at, values, size)``, added up in the same order without copies of the whole; ``values`` takes a slice."""
+    out = np.zeros(size)
+    for i in range(0, len(at), block):
+        part = slice(i, i + block)
+        np.add.at(out, at[part], values(part))
+    return out
+
+
 def fit_tokens(texts: list[str | None], labels: np.ndarray, rounds: int = 30, rate: float = 0.3, l2: float = 3e-5) -> SpanTagger:
     """Maximise the conditional log-likelihood of token labels (in text order) by Adam."""
-    tokens, _, start = _laid_out(texts)
-    words = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-    ids = np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens))
+    # ids as texts come: the tokens themselves, some 60 bytes each, are not held
+    words: dict[str, int] = {}
+    found, sizes = array("i"), []
+    for text in texts:
+        own = _tokens(text) if text else []
+        found.extend([words.setdefault(w, len(words)) for w in own])
+        sizes.append(len(own))
+    ids, counts = np.frombuffer(found, np.int32), np.array(sizes, np.int64)
+    start = np.zeros(len(ids), bool)
+    start[np.r_[0, np.cumsum(counts)[:-1]][counts > 0]] = True
     flat, owner, sides = array("i"), array("i"), array("i")
     for i, w in enumerate(words):
         f = word_features(w)
         flat.extend(f[:-2])
         owner.extend([i] * (len(f) - 2))
         sides.extend(f[-2:])
-    flat, owner = np.array(flat, np.int32), np.array(owner, np.int32)
+    n_words = len(words)
+    del words
+    flat, owner = np.frombuffer(flat, np.int32), np.frombuffer(owner, np.int32)
     left, right = np.array(sides, np.int32).reshape(-1, 2).T
-    del tokens
     y = labels.astype(float)
     inner = ~start[1:]
     n = len(ids)
@@ -271,7 +288,7 @@ def fit_tokens(texts: list[str | None], labels: np.ndarray, rounds: int = 30, ra
     np.add.at(seen, (labels[:-1][inner].astype(int), labels[1:][inner].astype(int)), 1)
     for k in range(1, rounds + 1):
         w, bias, log_a = theta[:BUCKETS], theta[BUCKETS], theta[BUCKETS + 1 :].reshape(2, 2)
-        own = np.bincount(owner, w[flat], len(words))
+        own = _summed(n_words, owner, lambda part: w[flat[part]])  # noqa: B023
         e = own[ids] + bias
         e[1:] += np.where(inner, w[left][ids[:-1]], 0)
         e[:-1] += np.where(inner, w[right][ids[1:]], 0)
@@ -279,15 +296,20 @@ def fit_tokens(texts: list[str | None], labels: np.ndarray, rounds: int = 30, ra
         logit, f, b = marginals(e, start, a)
         gap = y - 1 / (1 + np.exp(-logit))
         grad = np.zeros_like(theta)
-        by_word = np.bincount(ids, gap, len(words))
-        grad[:BUCKETS] = np.bincount(flat, by_word[owner], BUCKETS)
-        grad[:BUCKETS] += np.bincount(left, np.bincount(ids[:-1], gap[1:] * inner, len(words)), BUCKETS)
-        grad[:BUCKETS] += np.bincount(right, np.bincount(ids[1:], gap[:-1] * inner, len(words)), BUCKETS)
+        by_word = np.bincount(ids, gap, n_words)
+        grad[:BUCKETS] = _summed(BUCKETS, flat, lambda part: by_word[owner[part]])  # noqa: B023
+        grad[:BUCKETS] += np.bincount(left, np.bincount(ids[:-1], gap[1:] * inner, n_words), BUCKETS)
+        grad[:BUCKETS] += np.bincount(right, np.bincount(ids[1:], gap[:-1] * inner, n_words), BUCKETS)
         grad[BUCKETS] = gap.sum()
         # expected pairs of neighbours from x[t], e[t+1] and y[t+1]
         x, z = np.exp(np.clip(f[:-1][inner], -30, 30)), np.exp(np.clip((e + b)[1:][inner], -30, 30))
-        joint = np.stack([np.full_like(x, a[0, 0]), a[0, 1] * z, a[1, 0] * x, a[1, 1] * x * z])
-        grad[BUCKETS + 1 :] = seen.ravel() - (joint / joint.sum(0)).sum(1)
+        total = a[0, 0] + a[0, 1] * z
+        total += a[1, 0] * x
+        total += a[1, 1] * x * z
+        # a state's row at a time: all four at once would be the largest arrays of the fit
+        joint = (np.divide(row(), total).sum() for row in (lambda: a[0, 0], lambda: a[0, 1] * z, lambda: a[1, 0] * x, lambda: a[1, 1] * x * z))  # noqa: B023
+        grad[BUCKETS + 1 :] = seen.ravel() - np.array(list(joint))
+        del x, z, total, logit, f, b
         grad = grad / n * 50 - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
@@ -322,6 +344,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> SpanTagger:
             inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             half = fit_tokens([texts[i] for i in inside], label_tokens([texts[i] for i in inside], toxic[inside]))
             pooled[outside] = _pooled_of(half, [texts[i] for i in outside])
+            free_worker()
     model = fit_tokens(texts, label_tokens(texts, toxic))
     if not pooled.any():
         pooled = _pooled_of(model, texts)
@@ -406,7 +429,9 @@ def _tagged(docs: DataFrame, text_col: str, model: SpanTagger, spans: bool, thre
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> SpanTagger:
-    return fit(*sample(docs, labels))
+    model = fit(*sample(docs, labels))
+    free_worker()  # here it is the driver's process, which has other work to do
+    return model
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

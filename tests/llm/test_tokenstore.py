@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import tokenstore as ts
@@ -100,3 +102,37 @@ def test_a_lost_or_changed_recipe_is_noticed(spark):
     assert not ts.verify(spark, other)
     with pytest.raises(Exception, match="manifest doesn't hold"):
         ts.recipes(spark, other).collect()
+
+
+def test_kept_pieces_take_few_bytes():
+    enc = ts.Encoder(ts.default_tokenizer())
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for at in range(0, 150_000, 30_000):
+        enc.batch([" ".join(f"w{i * 7919 % 10**6:x}q" for i in range(at, at + 30_000))])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 12e6
+
+
+def test_pieces_encode_alike_after_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(ts, "CACHE_PIECES", 40)
+    rng = random.Random(6)
+    enc = ts.Encoder(ts.default_tokenizer())
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "é1", "don't", "日本", f"n{rng.randrange(90)}", ""]) for _ in range(30)) for _ in range(4)]
+        for text, ids in zip(texts, enc.batch(texts), strict=True):
+            assert np.frombuffer(ids, enc.kind).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_cut_points_in_parts(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 50_000, 1_500_000).astype(np.uint16)
+    gear = ts._gear()
+    tracemalloc.start()
+    cuts = ts.cut_points(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    monkeypatch.setattr(ts, "HASHED", len(ids))
+    assert len(cuts) and (ts.cut_points(ids) == cuts).all()
+    assert all(sum(int(gear[x]) << k for k, x in enumerate(ids[c - ts.WINDOW : c][::-1].tolist())) >> (63 - ts.MASK_BITS) & ((1 << ts.MASK_BITS) - 1) == 0 for c in cuts[10:200].tolist())

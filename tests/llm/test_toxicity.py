@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -95,3 +96,21 @@ def test_held_out_labels_of_the_tables(spark):
     toxic, calm = ([r.score for r in got if truth[r.doc_id] == y] for y in (1, 0))
     above = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in calm])
     assert above > 0.7 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.9
+
+
+def test_fitting_holds_few_bytes_a_token():
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(500)) for _ in range(200)]
+    labels = np.array([w.endswith("77") for t in texts for w in t.split()])
+    tracemalloc.start()
+    tx.fit_tokens(texts, labels, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 170 * len(labels)
+
+
+def test_sums_in_blocks_are_those_of_bincount():
+    rng = np.random.default_rng(5)
+    at, values = rng.integers(0, 50, 1000), rng.normal(size=1000)
+    assert (tx._summed(60, at, lambda part: values[part], block=7) == np.bincount(at, values, 60)).all()
