@@ -11,11 +11,14 @@ apart:
 * ``sorted``: time order, nulls taken out,
 * per track: time order inside (file, track), order column as tie-breaker.
 
-Windows are partitioned by stream; aggregates combine before their shuffle.
+A stream can be as long as the input, so gaps along streams are taken in ranges
+of (stream, order); tracks are short, so each is one window (``ranged=False``).
+Aggregates combine before their shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,12 +35,33 @@ def seconds(delta: Column, per: float) -> Column:
     return delta / F.lit(float(per))
 
 
-def gaps(df: DataFrame, part: list[str], order: list[str], ts: str = "ts", kind: str = "raw", per: float = 1.0) -> DataFrame:
-    """``df`` with ``gap_sec`` to the row before, in one of the meanings above."""
+def gaps(df: DataFrame, part: list[str], order: list[str], ts: str = "ts", kind: str = "raw", per: float = 1.0, ranged: bool = True, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``df`` with ``gap_sec`` to the row before, in one of the meanings above; ``only`` keeps rows by their gap."""
     if kind != "raw":
         df = df.where(F.col(ts).isNotNull())
-    w = _window(part, [ts, *order] if kind == "sorted" else order)
-    return df.withColumn("gap_sec", seconds(F.col(ts) - F.lag(ts).over(w), per))
+    order = [ts, *order] if kind == "sorted" else order
+    gap = lambda w: seconds(F.col(ts) - F.lag(ts).over(w), per)
+    out = _ranged_gaps(df, part, order, gap, only) if ranged else df.withColumn("gap_sec", gap(_window(part, order)))
+    return out if only is None else out.where(only(F.col("gap_sec")))
+
+
+def _ranged_gaps(df: DataFrame, part: list[str], order: list[str], gap: Callable[[Window], Column], only: Callable[[Column], Column] | None) -> DataFrame:
+    """Gaps of streams of any length: no task holds a whole stream.
+
+    Rows are dealt out in ranges of (stream, order), and a window runs in each
+    range.  What it can't know are the gaps of its first rows: those come from a
+    window over the first and last rows of all ranges of a stream.  It is one
+    chain, so the ranges are cut once, wherever the cuts fall.
+    """
+    by = [F.col(c).asc_nulls_last() for c in order]
+    inside, edges = Window.partitionBy(*part, "__range").orderBy(*by), Window.partitionBy(*part, "__edge").orderBy("__range", F.col("__first").desc())
+    d = df.repartitionByRange(*part, *by).withColumn("__range", F.spark_partition_id())
+    d = d.withColumns({"gap_sec": gap(inside), "__first": F.row_number().over(inside) == 1, "__last": F.lead(F.lit(1)).over(inside).isNull()})
+    at_edge = F.col("__first") | F.col("__last")
+    if only is not None:
+        d = d.where(at_edge | only(F.col("gap_sec")))
+    d = d.withColumn("__edge", F.when(at_edge, F.lit(-1)).otherwise(F.col("__range")))
+    return d.withColumn("gap_sec", F.when(F.col("__first"), gap(edges)).otherwise(F.col("gap_sec"))).drop("__range", "__first", "__last", "__edge")
 
 
 #: A table of one row a stream is paired in this many blocks each way, so no task holds all pairs.
@@ -60,13 +84,13 @@ def _paired(streams: DataFrame, name: str) -> DataFrame:
 # -- timestamps ---------------------------------------------------------------
 
 
-def backward_steps(df: DataFrame, part: list[str], order: list[str], ts: str = "ts", per: float = 1.0) -> DataFrame:
+def backward_steps(df: DataFrame, part: list[str], order: list[str], ts: str = "ts", per: float = 1.0, ranged: bool = True) -> DataFrame:
     """Rows earlier than the row before them."""
-    return gaps(df, part, order, ts, "raw", per).where("gap_sec < 0").withColumnRenamed("gap_sec", "delta_sec")
+    return gaps(df, part, order, ts, "raw", per, ranged, lambda g: g < 0).withColumnRenamed("gap_sec", "delta_sec")
 
 
 def large_gaps(df: DataFrame, part: list[str], order: list[str], threshold: float, ts: str = "ts", per: float = 1.0) -> DataFrame:
-    return gaps(df, part, order, ts, "raw", per).where(F.col("gap_sec") > threshold)
+    return gaps(df, part, order, ts, "raw", per, only=lambda g: g > threshold)
 
 
 def repeated_values(df: DataFrame, part: list[str], order: list[str], ts: str = "ts") -> DataFrame:
@@ -188,9 +212,9 @@ def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, fro
     return near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.median(seconds(F.col("g"), per)).alias("median_gap_sec"), F.max(seconds(F.col("g"), per)).alias("max_gap_sec"))
 
 
-def bursts(df: DataFrame, part: list[str], order: list[str], threshold: float, ts: str = "ts", per: float = 1.0) -> DataFrame:
+def bursts(df: DataFrame, part: list[str], order: list[str], threshold: float, ts: str = "ts", per: float = 1.0, ranged: bool = True) -> DataFrame:
     """Rows after a long gap in time order, with the samples it swallowed at the stream's median gap."""
-    g = gaps(df, part, order, ts, "sorted", per)
+    g = gaps(df, part, order, ts, "sorted", per, ranged)
     median = g.groupBy(*part).agg(F.median(_positive()).alias("__median"))
     long = g.where(F.col("gap_sec") > threshold).join(median, part)
     return long.withColumn("estimated_missing_frames", X.missing_count(F.col("gap_sec"), F.col("__median"))).drop("__median")
@@ -260,7 +284,7 @@ def size_changes(df: DataFrame, part: list[str], order: list[str], threshold: fl
 
 def missing_labels(df: DataFrame, part: list[str], order: list[str], multiplier: float = 1.5, ts: str = "ts", per: float = 1.0) -> DataFrame:
     """Rows after a gap beyond a multiple of their track's least positive gap, of tracks of three or more rows."""
-    g = gaps(df, part, order, ts, "sorted", per)
+    g = gaps(df, part, order, ts, "sorted", per, ranged=False)
     whole = Window.partitionBy(*part)
     g = g.withColumn("expected_gap_sec", F.min(_positive()).over(whole)).withColumn("__n", F.count(F.lit(1)).over(whole))
     g = g.where((F.col("__n") >= 3) & (F.col("gap_sec") > F.col("expected_gap_sec") * multiplier)).drop("__n")
@@ -358,9 +382,9 @@ def largest_gap(df: DataFrame, part: list[str], ts: str = "ts", per: float = 1.0
 
 def first_repeat(df: DataFrame, part: list[str], order: list[str], ts: str = "ts") -> DataFrame:
     """Per stream: number of surplus equal times, and the first time that repeats."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part, ts))
-    d = df.where(F.col(ts).isNotNull()).withColumn("__n", n).where("__n > 1")
-    return d.groupBy(*part).agg((F.count(F.lit(1)) - F.count_distinct(ts)).alias("surplus"), F.min_by(ts, F.struct(*order)).alias("first_repeat"))
+    least = F.min(F.struct(*order)) if len(order) > 1 else F.struct(F.min(F.col(order[0]).isNotNull()), F.min(order[0]))  # the second, nulls first too, needs no sort
+    times = df.where(F.col(ts).isNotNull()).groupBy(*part, ts).agg(F.count(F.lit(1)).alias("__n"), least.alias("__at")).where("__n > 1")
+    return times.groupBy(*part).agg(F.sum(F.col("__n") - 1).alias("surplus"), F.min_by(ts, F.struct("__at", ts)).alias("first_repeat"))
 
 
 def ordered_digest(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
@@ -65,8 +65,7 @@ def timestamps(m: Manifest) -> list[DataFrame]:
     t = _timed(m)
     part = ["sensor_id"]
     again = K.first_repeat(t, part, ["ord"]).where("surplus > 0")
-    nth = F.row_number().over(Window.partitionBy("sensor_id").orderBy("ord"))
-    back = K.backward_steps(t, part, ["ord"]).withColumn("__n", nth).where("__n = 1")
+    back = K.backward_steps(t, part, ["ord"]).groupBy(*part).agg(F.min(F.struct("ord", "ts")).alias("__at")).select(*part, "__at.ts")
     wide = K.largest_gap(t, part).where(F.col("gap_sec") > LARGE_GAP_SEC)
     return [
         told(again, "timestamps", "warning", "sensor ", F.col("sensor_id"), ": ", F.col("surplus"), " repeated timestamps, first ", F.col("first_repeat")),

@@ -59,7 +59,7 @@ _LW = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey"
 @_query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, d / 1e6 AS delta_sec FROM
   (SELECT *, t - lag(t) OVER ({_LW}) AS d FROM ({_LI})) WHERE d < 0""")
 def monotonic_timestamps(spark, d):
-    return K.backward_steps(_lines(spark, d), ["l_orderkey"], LINE, "t", US).select("l_orderkey", *LINE, "delta_sec")
+    return K.backward_steps(_lines(spark, d), ["l_orderkey"], LINE, "t", US, ranged=False).select("l_orderkey", *LINE, "delta_sec")
 
 
 @_query("""SELECT o_custkey, o_orderkey, t FROM
@@ -148,7 +148,7 @@ def manifest_sync_gap(spark, d):
   m AS (SELECT user_id, median(CASE WHEN g > 0 THEN g END) AS e FROM g GROUP BY user_id)
   SELECT event_id, user_id, g AS gap_sec, greatest(1, CAST(round_even(g / e, 0) AS BIGINT) - 1) AS estimated_missing_frames FROM g JOIN m USING (user_id) WHERE g > 150000""")
 def missing_frame_bursts(spark, d):
-    return K.bursts(_events(spark, d), ["user_id"], ["event_id"], 150000, "t", US).select("event_id", "user_id", "gap_sec", "estimated_missing_frames")
+    return K.bursts(_events(spark, d), ["user_id"], ["event_id"], 150000, "t", US, ranged=False).select("event_id", "user_id", "gap_sec", "estimated_missing_frames")
 
 
 @_query(f"""SELECT event_type, round(stddev_pop(CASE WHEN g > 0 THEN g END) / avg(CASE WHEN g > 0 THEN g END), 6) AS jitter_ratio FROM
