@@ -81,6 +81,24 @@ def _paired(streams: DataFrame, name: str) -> DataFrame:
     return a.join(b, ["__i", "__j"]).where(F.col(f"a_{name}") < F.col(f"b_{name}")).drop("__i", "__j")
 
 
+#: A key of more rows than this is dealt out to several tasks of a join.
+HOT_ROWS = 250_000
+
+
+def _spread(df: DataFrame, key: str, other: DataFrame, other_key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with ``__salt``: rows of a hot key of ``df`` get one of several salts, those of ``other`` all of them.
+
+    There is at most one hot key for each ``rows`` rows, so their table is broadcast.
+    """
+    hot = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__salts")).where("__salts > 1")
+    known = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    salt = F.when(F.col("__salts").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*known), F.col("__salts")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__salts", F.lit(1)) - 1))
+    a = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").select(*df.columns, salt.alias("__salt"))
+    b = other.join(F.broadcast(hot), F.col(other_key) == F.col("__hot"), "left").select(*other.columns, every.alias("__salt"))
+    return a, b
+
+
 # -- timestamps ---------------------------------------------------------------
 
 
@@ -176,29 +194,32 @@ def start_offsets(times: DataFrame, name: str, threshold: float) -> DataFrame:
     return p.where(F.col("start_offset_sec") > threshold)
 
 
-def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, from_left: bool = False, rows_per_slot: int = 1_000_000) -> DataFrame:
+def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, from_left: bool = False, rows_per_slot: int = 250_000) -> DataFrame:
     """(a, b, n, median_gap_sec, max_gap_sec): nearest-time gaps between each pair of streams.
 
     The shorter stream asks (the first by name if they are equal, or always
     with ``from_left``).  A pair's time range is cut into slots of about
-    ``rows_per_slot`` rows, each sorted once forwards and once backwards: the
-    nearest target on a side is the last one that a running window has seen,
-    or, at a slot's edge, the nearest target of the slots on that side.
+    ``rows_per_slot`` different times, each sorted once forwards and once
+    backwards: the nearest target on a side is the last one that a running
+    window has seen, or, at a slot's edge, the nearest target of the slots on
+    that side.  Equal times of a stream have equal gaps, so they go as one row
+    with their number; a long stream's rows meet its pairs in several tasks.
     """
-    rows = df.where(F.col(ts).isNotNull()).select(F.col(name).alias("s"), F.col(ts).alias("t"))
-    streams = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    rows = df.where(F.col(ts).isNotNull()).groupBy(F.col(name).alias("s"), F.col(ts).alias("t")).agg(F.count(F.lit(1)).alias("k"))
+    streams = rows.groupBy("s").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("times"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     pair = _paired(streams, "s").select(
         F.col("a_s").alias("a"),
         F.col("b_s").alias("b"),
         (F.lit(True) if from_left else F.col("a_n") <= F.col("b_n")).alias("left"),
-        F.ceil((F.col("a_n") + F.col("b_n")) / rows_per_slot).alias("slots"),
+        F.ceil((F.col("a_times") + F.col("b_times")) / rows_per_slot).alias("slots"),
         F.least("a_lo", "b_lo").cast("double").alias("lo"),
         F.greatest("a_hi", "b_hi").cast("double").alias("hi"),
     )
     sides = pair.select("*", F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("left").alias("asks")), F.struct(F.col("b").alias("s"), (~F.col("left")).alias("asks")))).alias("x")).select("a", "b", "slots", "lo", "hi", "x.*")
     # the slot rises with the time, whatever the rounding
     slot = F.least(F.floor(F.coalesce(F.try_divide(F.col("t") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.col("slots")), F.col("slots") - 1)
-    both = rows.join(sides, "s").select("a", "b", slot.alias("slot"), "t", "asks")
+    rows, sides = _spread(rows, "s", sides, "s", rows_per_slot)
+    both = rows.join(sides, ["s", "__salt"]).select("a", "b", slot.alias("slot"), "t", "k", "asks")
     target = F.when(~F.col("asks"), F.col("t"))
     edges = both.groupBy("a", "b", "slot").agg(F.min(target).alias("first"), F.max(target).alias("last"))
     ahead_of, behind = (Window.partitionBy("a", "b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("slot"), F.col("slot").desc()))
@@ -206,10 +227,10 @@ def nearest_gaps(df: DataFrame, name: str, ts: str = "ts", per: float = 1.0, fro
     part, seen = Window.partitionBy("a", "b", "slot"), (Window.unboundedPreceding, Window.currentRow)
     before = F.last(target, ignorenulls=True).over(part.orderBy("t", "asks").rowsBetween(*seen))
     after = F.last(target, ignorenulls=True).over(part.orderBy(F.col("t").desc(), "asks").rowsBetween(*seen))
-    near = both.select("a", "b", "slot", "t", "asks", before.alias("before"), after.alias("after")).where("asks").join(edges, ["a", "b", "slot"])
+    near = both.select("a", "b", "slot", "t", "k", "asks", before.alias("before"), after.alias("after")).where("asks").join(edges, ["a", "b", "slot"])
     back, on = F.coalesce("before", "carried_back"), F.coalesce("after", "carried_on")
-    near = near.select("a", "b", F.least(F.col("t") - back, on - F.col("t")).alias("g")).where("g IS NOT NULL")
-    return near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.median(seconds(F.col("g"), per)).alias("median_gap_sec"), F.max(seconds(F.col("g"), per)).alias("max_gap_sec"))
+    near = near.select("a", "b", "k", F.least(F.col("t") - back, on - F.col("t")).alias("g")).where("g IS NOT NULL").groupBy("a", "b", "g").agg(F.sum("k").alias("k"))
+    return near.groupBy("a", "b").agg(F.sum("k").alias("n"), F.percentile(seconds(F.col("g"), per), 0.5, F.col("k")).alias("median_gap_sec"), F.max(seconds(F.col("g"), per)).alias("max_gap_sec"))
 
 
 def bursts(df: DataFrame, part: list[str], order: list[str], threshold: float, ts: str = "ts", per: float = 1.0, ranged: bool = True) -> DataFrame:

@@ -81,7 +81,7 @@ def timestamp_stats(m: Manifest) -> DataFrame:
 def sync_stats(m: Manifest) -> DataFrame:
     """Per pair of sensors: whether their ranges are disjoint, and nearest gaps asked from the first."""
     t = _timed(m)
-    p = K.pairs(K.timings(t, ["sensor_id"]), "sensor_id")
+    p = K.pairs(t.groupBy("sensor_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time")), "sensor_id")
     near = K.nearest_gaps(t, "sensor_id", from_left=True)
     out = p.join(near, (F.col("a") == F.col("a_sensor_id")) & (F.col("b") == F.col("b_sensor_id")))
     apart = (F.col("a_end_time") < F.col("b_start_time")) | (F.col("b_end_time") < F.col("a_start_time"))

@@ -68,3 +68,28 @@ def test_steps_and_repeats_of_a_long_stream(spark):
         (r,) = K.first_repeat(df, ["s"], ["row"]).collect()
         known = [t for t in times["long"] if t is not None]
         assert (r.s, r.surplus, r.first_repeat) == ("long", len(known) - len(set(known)), next(t for t in known if known.count(t) > 1))
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of a collected DataFrame have written."""
+    n, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        kids = node.children()
+        left += [kids.apply(i) for i in range(kids.size())]
+        left += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    return n
+
+
+def test_equal_times_of_a_pair_are_shuffled_once(spark):
+    with many_partitions(spark):
+        df = spark.range(40_000).selectExpr("IF(id % 2 = 0, 'x', 'y') AS s", "IF(id % 2 = 0, 10 * (id % 7), 10 * (id % 11) + IF(id % 3 = 0, 2, 3)) AS t")
+        near = K.nearest_gaps(df, "s", "t", from_left=True)
+        (r,) = near.collect()
+        x, y = ([10 * (i % 7) for i in range(0, 40_000, 2)], {10 * (i % 11) + (2 if i % 3 == 0 else 3) for i in range(1, 40_000, 2)})
+        gaps = sorted(min(abs(t - u) for u in y) for t in x)
+        assert (r.a, r.b, r.n, r.median_gap_sec, r.max_gap_sec) == ("x", "y", len(gaps), (gaps[9999] + gaps[10_000]) / 2, gaps[-1])
+        assert 0 < shuffled_rows(near) < 20_000
