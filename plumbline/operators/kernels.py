@@ -92,7 +92,8 @@ def _spread(df: DataFrame, key: str, other: DataFrame, other_key: str, rows: int
     """
     hot = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__salts")).where("__salts > 1")
     known = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    salt = F.when(F.col("__salts").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*known), F.col("__salts")))
+    spread = F.pmod(F.xxhash64(*known), F.when(F.col(key).isNull(), F.lit(2**31)).otherwise(F.col("__salts")))  # nothing meets a null key, so it may have any salt
+    salt = F.when(F.col(key).isNotNull() & F.col("__salts").isNull(), F.lit(0).cast("bigint")).otherwise(spread)
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__salts", F.lit(1)) - 1))
     a = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").select(*df.columns, salt.alias("__salt"))
     b = other.join(F.broadcast(hot), F.col(other_key) == F.col("__hot"), "left").select(*other.columns, every.alias("__salt"))
@@ -351,13 +352,18 @@ def stationary(df: DataFrame, part: list[str], threshold: float, x: str = "x", y
 # -- links, groups, comparison -------------------------------------------------
 
 
-def broken_links(df: DataFrame, key: str, referenced: DataFrame, target: str, guarded: bool = True) -> DataFrame:
-    """Rows whose key has no match.  Guarded: null or empty keys pass, and so do all if nothing is referenced."""
+def broken_links(df: DataFrame, key: str, referenced: DataFrame, target: str, guarded: bool = True, rows: int = HOT_ROWS) -> DataFrame:
+    """Rows whose key has no match.  Guarded: null or empty keys pass, and so do all if nothing is referenced.
+
+    Rows of a key that more than ``rows`` share, and rows without a key, are looked up in several tasks.
+    """
     ref = referenced.select(F.col(target).alias("__ref")).where("__ref IS NOT NULL").distinct()
     if guarded:
         some = ref.limit(1).select(F.lit(1).alias("__some"))
         df = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).crossJoin(F.broadcast(some)).drop("__some")
-    return df.join(ref, df[key] == ref["__ref"], "left_anti")
+    columns = df.columns
+    df, ref = _spread(df, key, ref, "__ref", rows)
+    return df.join(ref, (df[key] == ref["__ref"]) & (df["__salt"] == ref["__salt"]), "left_anti").select(*columns)
 
 
 def lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, order: str, columns: list[str]) -> DataFrame:

@@ -93,3 +93,18 @@ def test_equal_times_of_a_pair_are_shuffled_once(spark):
         gaps = sorted(min(abs(t - u) for u in y) for t in x)
         assert (r.a, r.b, r.n, r.median_gap_sec, r.max_gap_sec) == ("x", "y", len(gaps), (gaps[9999] + gaps[10_000]) / 2, gaps[-1])
         assert 0 < shuffled_rows(near) < 20_000
+
+
+def test_rows_of_a_hot_key_are_looked_up_in_several_tasks(spark):
+    with many_partitions(spark):
+        df = spark.range(6000).selectExpr("id", "CASE WHEN id % 10 < 5 THEN 'lost' WHEN id % 10 < 8 THEN 'kept' WHEN id % 10 = 8 THEN CAST(id AS string) END AS key", "map('a', id) AS open")
+        ref = spark.range(0, 6000, 3).selectExpr("CAST(id AS string) AS name").union(spark.createDataFrame([("kept",), ("kept",), (None,)], "name string"))
+        keys = {"kept", *(str(i) for i in range(0, 6000, 3))}
+        want = [i for i in range(6000) if i % 10 < 5 or (i % 10 == 8 and str(i) not in keys)]
+        found = K.broken_links(df, "key", ref, "name", rows=200)
+        assert sorted(r.id for r in found.collect()) == want and found.columns == ["id", "key", "open"]
+        assert largest_share(found.select("id", "key")) < 0.5
+        every = K.broken_links(df, "key", ref, "name", guarded=False, rows=200)
+        assert sorted(r.id for r in every.collect()) == sorted([*want, *range(9, 6000, 10)])
+        assert largest_share(every.select("id", "key")) < 0.5
+        assert K.broken_links(df, "key", ref.where("false"), "name", rows=200).count() == 0
