@@ -418,3 +418,20 @@ def ordered_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """SHA-256 over the sorted rows of a small table, fields ended by a zero byte."""
     row = F.concat(*[F.concat(F.col(c).cast("string"), F.lit("\0")) for c in columns])
     return df.select(row.alias("r"), F.struct(*columns).alias("k")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"])), 256).alias("digest"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, each row's number from 1 in an order of the whole table; no task holds the table.
+
+    Rows are dealt out in ranges and numbered in each.  The last row of a range
+    sends the range's size to all later ranges, as one more row for each.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    inside = Window.partitionBy("__range").orderBy(*order)
+    d = d.withColumns({"__nth": F.row_number().over(inside).cast("bigint"), "__last": F.lead(F.lit(1)).over(inside).isNull()})
+    to = F.when(F.col("__last"), F.sequence(F.col("__range"), F.lit(n - 1))).otherwise(F.array("__range"))
+    d = d.select("*", F.explode(to).alias("__to"))
+    sent = F.col("__to") != F.col("__range")
+    ahead = F.sum(F.when(sent, F.col("__nth")).otherwise(0)).over(Window.partitionBy("__to").orderBy(sent.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return d.withColumn(name, F.col("__nth") + ahead).where(~sent).select(*df.columns, name)

@@ -66,8 +66,11 @@ def run_checks(bundle: Bundle, names: list[str]) -> DataFrame:
     return overridden(reduce(DataFrame.unionByName, frames), bundle.config.rules.severity)
 
 
+ORDER = ["place", "k_text", "k_num", "k_row"]
+
+
 def ordered(found: DataFrame) -> DataFrame:
-    return found.orderBy("place", "k_text", "k_num", "k_row")
+    return found.orderBy(*ORDER)
 
 
 def to_issues(found: DataFrame) -> list[Issue]:
